@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import encode_corpus
+from .knn import nearest
 from .leak import find_leaks
 from .split import split_oversized
 
@@ -14,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "vectors").select(F.col("seq").alias("id"), F.explode(F.array(F.struct(F.lit("v").alias("space"), F.col("v").alias("vec")), F.struct(F.lit("k").alias("space"), F.col("k").alias("vec")))).alias("x"))
+    found = nearest(rows.select("x.space", "id", "x.vec"), k=5, min_cosine=0.85)
+    return found.select("space", F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_table(spark, sf_dir, "long_entries"))
 
@@ -26,5 +33,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found)}
 SQL: dict[str, str] = {}
