@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .encode import encode_corpus
 from .knn import nearest
 from .leak import find_leaks
+from .neardup import near_duplicate_groups
 from .split import split_oversized
 
 
@@ -21,6 +22,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("space", F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "entry_log").filter(~F.coalesce("kind", F.lit("")).isin("keep", "retract", "alias"))
+    return near_duplicate_groups(rows, key="seq", threshold=0.6, size=3)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_table(spark, sf_dir, "long_entries"))
 
@@ -33,5 +39,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_ids, p7_found)}
 SQL: dict[str, str] = {}
