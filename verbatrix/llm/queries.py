@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import AcceptedIndex, admit
 from .encode import encode_corpus
 from .knn import nearest
 from .leak import find_leaks
@@ -22,6 +23,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("space", F.least("id", "neighbour").alias("seq_a"), F.greatest("id", "neighbour").alias("seq_b")).distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history makes the index; what came since is checked against it and itself, in one go (the order is that of row_id)."""
+    rows = _table(spark, sf_dir, "entry_batches")
+    index = AcceptedIndex(spark, threshold=0.6, size=3)
+    decided = admit(index, rows.filter("batch_no = 0")).unionByName(admit(index, rows.filter("batch_no > 0 or batch_no is null")))
+    return decided.filter("kept is not null").select(F.col("kept").alias("kept_id"), F.col("row_id").alias("dup_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "entry_log").filter(~F.coalesce("kind", F.lit("")).isin("keep", "retract", "alias"))
     return near_duplicate_groups(rows, key="seq", threshold=0.6, size=3)
@@ -39,5 +48,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p6_ids, p7_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found)}
 SQL: dict[str, str] = {}
