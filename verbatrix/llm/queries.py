@@ -9,6 +9,7 @@ from .batches import AcceptedIndex, admit
 from .encode import encode_corpus
 from .knn import nearest
 from .leak import find_leaks
+from .mojibake import find_garbled
 from .neardup import near_duplicate_groups
 from .split import split_oversized
 
@@ -48,5 +49,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
 SQL: dict[str, str] = {}
