@@ -1,0 +1 @@
+"""Where entries, vectors and other stores come from."""
