@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import unit_rows, usable
+from ..functions.vectors import unit_rows
 from ..schema import DEFAULTS, Params
 from ..session import materialise
 from .log import distinct_log, latest_by_topic, live_rows, with_ordinal
@@ -18,9 +18,17 @@ from .log import distinct_log, latest_by_topic, live_rows, with_ordinal
 BLOCK = 1024
 
 
-def _packed(column: str):  # noqa: ANN202
-    """A vector column as bytes, inside a block's list."""
-    return F.transform(F.col(column), lambda x: x.cast("float"))
+def packed_keys(vectors: DataFrame, dim: int) -> DataFrame:
+    """(store, h, k) with keys of width dim as bytes, which are cheap to move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("k").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+            fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            at = pa.array(np.flatnonzero(fine))
+            yield pa.RecordBatch.from_arrays([b.column("store").take(at), b.column("h").take(at), pa.array([r.tobytes() for r in x[fine]], pa.binary())], ["store", "h", "k"])
+
+    return vectors.filter(F.size("k") == dim).select("store", "h", "k").mapInArrow(run, "store string, h string, k binary")
 
 
 def displacements(log: DataFrame, vectors: DataFrame, dim: int, p: Params = DEFAULTS, block: int = BLOCK) -> DataFrame:
@@ -32,31 +40,34 @@ def displacements(log: DataFrame, vectors: DataFrame, dim: int, p: Params = DEFA
     after it in one matrix product, and only the best of each product leave it. Blocks without queries aren't probed.
     """
     rows = live_rows(distinct_log(log)).select("store", "seq", "h", (F.coalesce("topic", F.lit("")) == "").alias("asks"))
-    keyed = rows.join(vectors.filter(usable(F.col("k"), dim)).select("store", "h", "k").dropDuplicates(["store", "h"]), ["store", "h"])
-    numbered = with_ordinal(keyed, ["store"], ["seq"], "place").withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
-    parts = F.sort_array(F.collect_list(F.struct("seq", "asks", _packed("k").alias("k"))))
-    blocks = materialise(numbered.groupBy("store", "block").agg(parts.alias("rows"), F.max("asks").alias("asking")), "blocks")
-    seqs, asks, ks = F.col("rows.seq"), F.col("rows.asks"), F.flatten("rows.k")
+    numbered = with_ordinal(rows, ["store"], ["seq"], "place").withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
+    keyed = numbered.join(packed_keys(vectors, dim).dropDuplicates(["store", "h"]), ["store", "h"])
+    blocks = keyed.groupBy("store", "block").agg(F.collect_list(F.struct("seq", "asks", "k")).alias("rows"), F.max("asks").alias("asking"))
+    blocks = materialise(blocks, "blocks")
+    seqs, asks, ks = F.col("rows.seq"), F.col("rows.asks"), F.col("rows.k")
     a = blocks.filter("asking").select("store", F.col("block").alias("qa"), seqs.alias("q_seq"), asks.alias("q_asks"), ks.alias("q_k"))
     b = blocks.select("store", F.col("block").alias("qb"), seqs.alias("t_seq"), ks.alias("t_k"))
     pairs = a.join(b, (a["store"] == b["store"]) & (b["qb"] <= a["qa"])).select(a["store"], "q_seq", "q_asks", "q_k", "t_seq", "t_k")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q_seq, t_seq = np.array(r["q_seq"]), np.array(r["t_seq"])
-                asks_ = np.array(r["q_asks"], bool)
-                x = unit_rows(np.array(r["q_k"], np.float64).reshape(-1, dim)[asks_])
+            for n in range(batch.num_rows):
+                q_seq, t_seq, asks_ = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in ("q_seq", "t_seq", "q_asks"))
+                q_k, t_k = (np.frombuffer(b"".join(batch.column(c)[n].values.to_pylist()), np.float32).reshape(-1, dim) for c in ("q_k", "t_k"))
+                x = unit_rows(q_k[asks_]).astype(np.float32)
                 q_seq = q_seq[asks_]
-                cos = np.round(x @ unit_rows(np.array(r["t_k"], np.float64).reshape(-1, dim)).T, 9)
-                cos[t_seq[None, :] >= q_seq[:, None]] = -2
-                i, j = np.nonzero(cos >= p.displace_floor)
-                order = np.lexsort((t_seq[j], -cos[i, j], i))
-                i, j = i[order], j[order]
+                near = x @ unit_rows(t_k).astype(np.float32).T
+                i, j = np.nonzero((near >= p.displace_floor - 1e-4) & (t_seq[None, :] < q_seq[:, None]))
+                # what is near in single precision is decided in double
+                cos = np.round(np.einsum("ij,ij->i", unit_rows(q_k[asks_][i]), unit_rows(t_k[j])), 9)
+                sure = cos >= p.displace_floor
+                i, j, cos = i[sure], j[sure], cos[sure]
+                order = np.lexsort((t_seq[j], -cos, i))
+                i, j, cos = i[order], j[order], cos[order]
                 counts = np.bincount(i, minlength=len(q_seq))
                 keep = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < p.displace_top
-                i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(r["store"], pa.string()), len(i)), pa.array(q_seq[i]), pa.array(t_seq[j]), pa.array(cos[i, j])], ["store", "seq", "target_seq", "cosine"])
+                i, j, cos = i[keep], j[keep], cos[keep]
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("store")[n], len(i)), pa.array(q_seq[i]), pa.array(t_seq[j]), pa.array(cos)], ["store", "seq", "target_seq", "cosine"])
 
     found = pairs.mapInArrow(best, "store string, seq bigint, target_seq bigint, cosine double")
     w = Window.partitionBy("store", "seq").orderBy(F.col("cosine").desc(), "target_seq")
