@@ -33,12 +33,13 @@ class AcceptedIndex:
     least_words: int = 8
     buckets: int | None = None
     name: str = field(default_factory=lambda: f"accepted_{uuid.uuid4().hex[:10]}")
-    parts: dict[str, list[str]] = field(default_factory=lambda: {"identities": [], "contents": [], "units": [], "frequencies": []})
+    parts: dict[str, list[str]] = field(default_factory=lambda: {"identities": [], "contents": [], "units": [], "sets": [], "frequencies": []})
 
     SCHEMAS = {
         "identities": ("h", "h string, kept bigint"),
         "contents": ("digest", "digest string, kept bigint"),
-        "units": ("gram", "gram bigint, kept bigint, kn int, kpos int, kgrams array<bigint>"),
+        "units": ("gram", "gram bigint, kept bigint, kn int, kpos int"),
+        "sets": ("kept", "kept bigint, kgrams array<bigint>"),
         "frequencies": ("gram", "gram bigint, df bigint"),
     }
 
@@ -102,12 +103,14 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     if not index.parts["frequencies"]:
         index.append("frequencies", classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
     ordered = prefix_sets(classes, "cid", index.spark.table(index.parts["frequencies"][0]), close, shared_only=False)
-    units = materialise(prefixes(ordered.withColumn("all", F.col("o.gram")), "cid", close, ["all"]).drop("df"), "units")
-
-    enough = lambda a, b: (  # noqa: E731  sizes, then positions of the shared unit, then the sets
-        F.expr(close.close(f"least({a[0]} - {a[1]}, {b[0]} - {b[1]})", a[0], b[0])) & F.expr(close.close(f"size(array_intersect({a[2]}, {b[2]}))", a[0], b[0]))
-    )
-    near = index.joined("units", units, ["cid", "n", "pos", "all", "kept", "kn", "kpos", "kgrams"]).filter(enough(("n", "pos", "all"), ("kn", "kpos", "kgrams"))).select("cid", "kept")
+    units = materialise(prefixes(ordered, "cid", close, []).drop("df"), "units")
+    sets = classes.select("cid", "grams")
+
+    # sizes and positions of a shared unit first; what they leave is verified once a pair
+    possible = lambda a, i, b, j: F.expr(close.close(f"least({a} - {i}, {b} - {j})", a, b))
+    verified = lambda x, y: F.expr(close.close(f"size(array_intersect({x}, {y}))", f"size({x})", f"size({y})"))
+    near = index.joined("units", units, ["cid", "n", "pos", "kept", "kn", "kpos"]).filter(possible("n", "pos", "kn", "kpos")).select("cid", "kept").distinct()
+    near = index.joined("sets", near.join(sets, "cid"), ["cid", "kept", "grams", "kgrams"]).filter(verified("grams", "kgrams")).select("cid", "kept")
     same = index.joined("contents", classes.select("digest", "cid"), ["cid", "kept"])
     by_text = near.unionByName(same).groupBy("cid").agg(F.min("kept").alias("kept_t"))
     by_h = index.joined("identities", nodes.filter("h is not null").select("h", "id"), ["id", "kept"]).groupBy("id").agg(F.min("kept").alias("kept_h"))
@@ -116,8 +119,9 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
 
     # close classes of the batch
     left, right = units.alias("x"), units.alias("y")
-    pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & enough(("x.n", "x.pos", "x.all"), ("y.n", "y.pos", "y.all")))
+    pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & possible("x.n", "x.pos", "y.n", "y.pos"))
     pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").filter(verified("ga", "gb")).select("a", "b")
     around = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("near")), F.struct(F.col("b").alias("cid"), F.col("a").alias("near")))).alias("p")).select("p.cid", "p.near"), "around")
 
     accepted = materialise(_first_come(known.filter("kept is null").select("id", "h", "cid"), around), "accepted")
@@ -140,7 +144,8 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     index.append("identities", taken.filter("h is not null").select("h", "kept"))
     texts = taken.filter("cid is not null").select("cid", "kept")
     index.append("contents", texts.join(classes.select("digest", "cid"), "cid").select("digest", "kept"))
-    index.append("units", texts.join(units, "cid").select("gram", "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos"), F.col("all").alias("kgrams")))
+    index.append("units", texts.join(units, "cid").select("gram", "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
+    index.append("sets", texts.join(sets, "cid").select("kept", F.col("grams").alias("kgrams")))
     return out
 
 
