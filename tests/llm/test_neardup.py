@@ -142,3 +142,20 @@ def test_admit_in_order(spark, words, seed):
     at_once = AcceptedIndex(spark, threshold=0.6, size=3, buckets=2)
     assert {r["row_id"]: r["kept"] for r in admit(at_once, df).collect()} == want
     at_once.drop()
+
+
+def test_hot_batch_is_halved(spark, words):
+    """A third of the batch is close to each other: the same result, the batch in parts."""
+    rng = random.Random(9)
+    text = " ".join(rng.choices(words, k=30))
+    rows = []
+    for i in range(300):
+        w = text.split()
+        w[rng.randrange(30)] = f"n{i}"
+        rows.append((i + 1, None, " ".join(w) if i % 3 == 0 else " ".join(rng.choices(words, k=12))))
+    index = AcceptedIndex(spark, threshold=0.6, size=3, buckets=2)
+    df = spark.createDataFrame(rows, "row_id bigint, h string, text string")
+    got = {r["row_id"]: r["kept"] for r in admit(index, df, pairs_per_entry=0).collect()}
+    assert got == accepted(rows)
+    assert len(index.parts["units"]) > 2
+    index.drop()

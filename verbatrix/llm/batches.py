@@ -79,7 +79,7 @@ def _least(*columns: str) -> Column:
     return F.least(*columns)
 
 
-def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text") -> DataFrame:
+def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text", pairs_per_entry: int = 100) -> DataFrame:
     """(key, kept): for every row of the batch the accepted row of the smallest key that it repeats, null if it is accepted itself;
     the accepted rows are appended to the index.
 
@@ -88,6 +88,10 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     words are close to nothing; a row with neither h nor such a text is always accepted. Texts with the same words are copies:
     they are compared once. An empty batch gives no rows; other columns are ignored whatever their names.
 
+    A group of close texts that a third of the batch belongs to isn't compared all with all: where the lists of shared units hold more than
+    pairs_per_entry pairs an entry (and a million), the batch is halved in order, so that the first half's few accepted rows refuse most of
+    the second by the index. The frequencies are then those of the first part.
+
     Plan: words and hashes once (written); rows with the same (h, words) collapse to one node by a pre-aggregated shuffle; the batch is
     shuffled to the index' buckets, the index never is; rounds run over the nodes in conflict only. Nothing is collected.
     """
@@ -117,8 +121,18 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     known = nodes.select("id", "h", "digest").join(classes.select("digest", "cid"), "digest", "left").join(by_text, "cid", "left").join(by_h, "id", "left")
     known = materialise(known.select("id", "h", "digest", "cid", _least("kept_t", "kept_h").alias("kept")), "known")
 
-    # close classes of the batch
-    left, right = units.alias("x"), units.alias("y")
+    # close classes of the batch, of those the index leaves open
+    still = known.filter("kept is null and cid is not null").select("cid").distinct()
+    free = materialise(units.join(still, "cid", "left_semi"), "free")
+    load = free.groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("entries")).first()
+    if load["pairs"] > pairs_per_entry * load["entries"] + 1_000_000 * (pairs_per_entry > 0):
+        middle = known.filter("kept is null").approxQuantile("id", [0.5], 0.05)[0]
+        first, rest = src.filter(F.col("id") <= middle), src.filter(F.col("id") > middle)
+        if not first.isEmpty() and not rest.isEmpty():
+            back = lambda df: df.toDF(key, h, text)
+            done = admit(index, back(first), key, h, text, pairs_per_entry)
+            return done.unionByName(admit(index, back(rest), key, h, text, pairs_per_entry))
+    left, right = free.alias("x"), free.alias("y")
     pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & possible("x.n", "x.pos", "y.n", "y.pos"))
     pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
     pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").filter(verified("ga", "gb")).select("a", "b")
@@ -160,9 +174,8 @@ def _first_come(nodes: DataFrame, around: DataFrame, max_rounds: int = 1000) ->
     marked = nodes.join(h_many, "h", "left").join(c_many, "cid", "left").join(c_near, "cid", "left").select("id", "h", "cid", F.coalesce("m1", "m2", "m3").isNotNull().alias("open"))
     state = write_out(marked, "rounds")
     done = [state.df.filter("not open").select("id", "h", "cid")]
-    undecided = write_out(state.df.filter("open").select("id", "h", "cid"), "undecided")
+    u, undecided = state.df.filter("open").select("id", "h", "cid"), None
     for _ in range(max_rounds):
-        u = undecided.df
         if u.isEmpty():
             break
         m_h = u.filter("h is not null").groupBy("h").agg(F.min("id").alias("m_h"))
@@ -178,8 +191,9 @@ def _first_come(nodes: DataFrame, around: DataFrame, max_rounds: int = 1000) ->
         w_n = around.join(won.filter("cid is not null").select(F.col("cid").alias("near")), "near", "left_semi").select("cid").distinct().withColumn("b3", F.lit(1))
         rest = step.df.filter("not in").join(w_h, "h", "left").join(w_c, "cid", "left").join(w_n, "cid", "left").filter("b1 is null and b2 is null and b3 is null")
         after = write_out(rest.select("id", "h", "cid"), "undecided")
-        undecided.drop()
-        undecided = after
+        if undecided is not None:
+            undecided.drop()
+        undecided, u = after, after.df
     else:
         raise RuntimeError("first come: no end within max_rounds")
     out = done[0]
