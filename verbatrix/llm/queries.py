@@ -54,4 +54,31 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_found)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+WITH x AS (SELECT seq, 'v' AS space, v AS e FROM vectors UNION ALL SELECT seq, 'k', k FROM vectors),
+u AS (SELECT space, seq, list_transform(e, lambda y: y::DOUBLE) AS e FROM x WHERE e IS NOT NULL AND len(e) = 64 AND list_aggregate(list_transform(e, lambda y: abs(y)), 'sum') > 0),
+p AS (SELECT a.space, a.seq AS s, b.seq AS t, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM u a JOIN u b ON a.space = b.space AND a.seq <> b.seq),
+r AS (SELECT * FROM p WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY space, s ORDER BY c DESC, t) <= 5)
+SELECT DISTINCT space, least(s, t) AS seq_a, greatest(s, t) AS seq_b FROM r
+""",
+    "p4_found": r"""
+WITH RECURSIVE w AS (SELECT seq, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM entry_log WHERE text IS NOT NULL AND coalesce(kind, '') NOT IN ('keep', 'retract', 'alias')),
+c AS (SELECT array_to_string(ws, ' ') AS words, min(seq) AS cid, any_value(ws) AS ws FROM w WHERE len(ws) >= 8 GROUP BY 1),
+g AS (SELECT DISTINCT cid, array_to_string(ws[i : i + 2], ' ') AS gram FROM (SELECT cid, ws, unnest(range(1, len(ws) - 1)) AS i FROM c)),
+n AS (SELECT cid, count(*) AS n FROM g GROUP BY cid),
+o AS (SELECT a.cid AS a, b.cid AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.cid <> b.cid GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.cid = a JOIN n y ON y.cid = b WHERE 8 * o >= 3 * (x.n + y.n)),
+r AS (SELECT cid AS node, cid AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node WHERE r.root < e.b),
+m AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+rows_ AS (SELECT root AS group_seq, w.seq FROM w JOIN c ON c.words = array_to_string(w.ws, ' ') JOIN m ON m.node = c.cid WHERE len(w.ws) >= 8)
+SELECT group_seq, seq FROM rows_ QUALIFY count(*) OVER (PARTITION BY group_seq) > 1
+""",
+    "p7_found": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(ws[j : j + k - 1], ' ') AS gram FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS j FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j : j + k - 1], ' ') AS gram FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM ig) WHERE len(ws) >= k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, gram)
+""",
+}
