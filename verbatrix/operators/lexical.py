@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 from ..schema import DEFAULTS, Params
+from ..session import materialise
 from .log import with_ordinal
 
 
@@ -69,6 +70,7 @@ def fused(pool: DataFrame, by: list[str], primary: str, secondary: str, weight:
     is no evidence, not a rank). Ranks are over the whole pool of each `by`, found by range partitions and offsets, so that no pool is
     one task. Scores are rounded before they are ranked, so that the last bits of a sum decide nothing."""
     scores = pool.withColumn("_p", -F.round(primary, 9)).withColumn("_s", -F.round(F.coalesce(secondary, F.lit(0.0)), 9))
+    scores = materialise(scores, "scores")  # a range partitioning reads its input twice
     first = with_ordinal(scores, by, ["_p", *ties], "_r1")
     both = with_ordinal(first, by, ["_s", *ties], "_r2")
     lex = F.when((F.col("_s") < 0) & (F.col(weight) > 0), F.col(weight) / (p.rrf_k + F.col("_r2") - 1)).otherwise(0.0)
