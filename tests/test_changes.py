@@ -94,3 +94,10 @@ def test_merge_changes(spark):
     assert merge_changes(None, feed.limit(0), ["k"], ["cid"], ["lsn"], F.col("del")).count() == 0
     again = merge_changes(base, feed.unionByName(feed), ["k"], ["cid"], ["lsn"], F.col("del")).select("k", "v")
     assert {tuple(r) for r in again.collect()} == got
+
+
+def test_written_tables_are_cleared(spark):
+    from verbatrix.session import clear_written, materialise
+
+    df = materialise(spark.range(3))
+    assert df.count() == 3 and clear_written(spark) >= 1 and clear_written(spark) == 0

@@ -41,6 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete the tables that this session wrote between stages, when no result needs them any more; their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        Written(spark, p).drop()
+    return len(paths)
+
+
 class Written:
     """A table written to the shared folder: lineage ends there and a lost executor loses nothing."""
 
@@ -62,6 +73,7 @@ def write_out(df: DataFrame, name: str = "t") -> Written:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatrix/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return Written(spark, path)
 
 
