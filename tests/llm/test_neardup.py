@@ -1,5 +1,6 @@
 """Near duplicates and batch checks against plain Python, with edits, copies, chains and hot lists."""
 
+import json
 import random
 
 import pytest
@@ -134,7 +135,12 @@ def test_admit_in_order(spark, words, seed):
     want = accepted(rows)
     index = AcceptedIndex(spark, threshold=0.6, size=3, buckets=3)
     got = {}
+    assert index.manifest()["buckets"] == 3
     for a, b in ((0, 100), (100, 101), (101, 180), (180, 180), (180, 240)):  # batches, one of them empty
+        if a == 180:  # another session goes on
+            for t in [t for ts in index.parts.values() for t in ts]:
+                spark.sql(f"DROP TABLE {t}")
+            index = AcceptedIndex.attach(spark, json.loads(json.dumps(index.manifest())))
         got |= {r["row_id"]: r["kept"] for r in admit(index, df.filter((F.col("row_id") > a) & (F.col("row_id") <= b))).collect()}
     assert got == want
     assert sum(v is not None for v in want.values()) > 60

@@ -35,6 +35,8 @@ class AcceptedIndex:
     name: str = field(default_factory=lambda: f"accepted_{uuid.uuid4().hex[:10]}")
     parts: dict[str, list[str]] = field(default_factory=lambda: {"identities": [], "contents": [], "units": [], "sets": [], "frequencies": []})
 
+    folder: str = ""
+
     SCHEMAS = {
         "identities": ("h", "h string, kept bigint"),
         "contents": ("digest", "digest string, kept bigint"),
@@ -45,12 +47,27 @@ class AcceptedIndex:
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = self.folder or f"{shared_dir(self.spark)}/verbatrix"
+
+    def manifest(self) -> dict:
+        """What another session needs to go on with this index (plain data); its files stay in `folder`."""
+        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "parts", "folder")}
+
+    @classmethod
+    def attach(cls, spark: SparkSession, manifest: dict) -> "AcceptedIndex":
+        """The index of a manifest: its tables are declared over the files that are there."""
+        index = cls(spark, **{**manifest, "parts": {k: list(v) for k, v in manifest["parts"].items()}})
+        for kind, tables in index.parts.items():
+            key, schema = cls.SCHEMAS[kind]
+            for t in tables:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {t} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{index.folder}/{t}'")
+        return index
 
     def append(self, kind: str, rows: DataFrame) -> None:
         """Write rows as one more bucketed table of this kind; one file a bucket."""
         key = self.SCHEMAS[kind][0]
         table = f"{self.name}_{kind}_{len(self.parts[kind])}"
-        path = f"{shared_dir(self.spark)}/verbatrix/{table}"
+        path = f"{self.folder}/{table}"
         rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
         self.parts[kind].append(table)
 
@@ -70,7 +87,7 @@ class AcceptedIndex:
         for tables in self.parts.values():
             for t in tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-                Written(self.spark, f"{shared_dir(self.spark)}/verbatrix/{t}").drop()
+                Written(self.spark, f"{self.folder}/{t}").drop()
             tables.clear()
 
 

@@ -29,6 +29,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "entry_batches")
     index = AcceptedIndex(spark, threshold=0.6, size=3)
     decided = admit(index, rows.filter("batch_no = 0")).unionByName(admit(index, rows.filter("batch_no > 0 or batch_no is null")))
+    index.drop()  # what was decided is written
     return decided.filter("kept is not null").select(F.col("kept").alias("kept_id"), F.col("row_id").alias("dup_id"))
 
 
