@@ -338,6 +338,35 @@ def support_verdict(spark: SparkSession, d: str) -> DataFrame:
     return best.select("store", F.round("s", 2).alias("support"), X.verdict(F.col("s")).alias("verdict"))
 
 
+ONE = f"""
+, docs AS (SELECT store, seq, {TOKENS.format(DOC)} AS toks FROM live)
+, posts AS (SELECT store, seq, term, count(*) AS tf FROM (SELECT store, seq, unnest(toks) AS term FROM docs) GROUP BY ALL)
+, sizes AS (SELECT store, seq, len(toks) AS doc_len FROM docs)
+, pool AS (SELECT count(*) AS n, sum(doc_len) / count(*) AS avgdl FROM sizes)
+, dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term)
+, q AS (SELECT DISTINCT unnest({TOKENS.format(f"'{QUESTION}'")}) AS term)
+, weight AS (SELECT least(1, greatest(0, (max(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) - 3) / 3)) AS gate FROM q LEFT JOIN dfs USING (term) CROSS JOIN pool)
+, scored AS (SELECT p.store, p.seq, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))) AS bm25
+  FROM q JOIN posts p USING (term) JOIN dfs USING (term) JOIN sizes s ON s.store = p.store AND s.seq = p.seq CROSS JOIN pool GROUP BY ALL)
+, both_ AS (SELECT r.store, r.seq, round(r.res, 5) AS res, round(coalesce(s.bm25, 0), 9) AS bm25 FROM res r LEFT JOIN scored s USING (store, seq))
+, placed AS (SELECT *, row_number() OVER (ORDER BY res DESC, store, seq) AS r1, row_number() OVER (ORDER BY bm25 DESC, store, seq) AS r2 FROM both_)
+"""
+
+
+@query(BASE + HASHED + ONE + "SELECT store, seq, round(1.0 / (59 + r1) + CASE WHEN bm25 > 0 AND gate > 0 THEN gate / (59 + r2) ELSE 0 END, 9) AS fused FROM placed CROSS JOIN weight")
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Both arms fused by rank, for every live row."""
+    rows = _without_aliases(log(spark, d))
+    key = ["store", "seq"]
+    docs = materialise(live_docs(spark, d), "docs")
+    posts, size = materialise(lex.postings(docs, key, F.col("doc")), "postings"), lex.lengths(docs, key, F.col("doc"))
+    terms = lex.question_terms(spark.createDataFrame([(1, QUESTION)], "qid int, text string"), "qid", F.col("text"))
+    res = resolution(rows, hashed_vectors(L.live_rows(rows)), question_vector()).withColumn("res", F.round("res", 5))
+    pool = res.join(lex.bm25(terms, "qid", posts, size, key).drop("qid"), key, "left").crossJoin(F.broadcast(lex.gate(terms, "qid", posts, size).select("gate")))
+    out = lex.fused(pool.withColumn("all_", F.lit(1)).withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), ["all_"], "res", "bm25", "gate", key)
+    return out.select("store", "seq", F.round("fused", 9).alias("fused"))
+
+
 @query()
 def ask_ranked(spark: SparkSession, d: str) -> DataFrame:
     rows = log(spark, d)
