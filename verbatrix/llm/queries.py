@@ -74,6 +74,21 @@ r AS (SELECT cid AS node, cid AS root FROM c UNION SELECT e.b, r.root FROM r JOI
 m AS (SELECT node, min(root) AS root FROM r GROUP BY node),
 rows_ AS (SELECT root AS group_seq, w.seq FROM w JOIN c ON c.words = array_to_string(w.ws, ' ') JOIN m ON m.node = c.cid WHERE len(w.ws) >= 8)
 SELECT group_seq, seq FROM rows_ QUALIFY count(*) OVER (PARTITION BY group_seq) > 1
+""",
+    "p5_found": r"""
+WITH RECURSIVE t AS (SELECT entry_id, coalesce(topic, '') AS topic, topic IS NULL AS bare, text, length(text) AS n FROM long_entries WHERE length(text) > 1500),
+c AS (SELECT entry_id, text, unnest(range(1, n + 1)) AS e FROM t),
+m AS (SELECT entry_id, e, text, substr(text, e, 1) AS x, substr(text, e - 1, 1) AS y FROM c),
+b AS (SELECT entry_id, e, CASE WHEN x = chr(10) AND regexp_matches(substr(text, 1, e - 1), '\n[ \t\r]*$') THEN 1 WHEN x = chr(10) THEN 2
+        WHEN x IN ('。', '！', '？') OR (e > 1 AND x IN (' ', chr(9), chr(13)) AND y IN ('.', '!', '?')) THEN 3 WHEN x IN (' ', chr(9), chr(13)) THEN 4 ELSE 5 END AS kind FROM m),
+p AS (
+  SELECT entry_id, 1 AS piece_no, 0::BIGINT AS s, (SELECT min_by(b.e, b.kind * 100000000 - b.e) FROM b WHERE b.entry_id = t.entry_id AND b.e > 750 AND b.e <= 1500 AND (b.kind < 5 OR b.e = 1500)) AS e, n FROM t
+  UNION ALL
+  SELECT p.entry_id, p.piece_no + 1, p.e - 150, CASE WHEN p.n - (p.e - 150) <= 1500 THEN p.n ELSE q.e END, p.n
+  FROM p LEFT JOIN b AS q ON q.entry_id = p.entry_id AND q.e > p.e + 600 AND q.e <= least(p.e + 1350, p.n) WHERE p.e < p.n
+  QUALIFY row_number() OVER (PARTITION BY p.entry_id ORDER BY CASE WHEN q.kind = 5 AND q.e < p.e + 1350 THEN 6 ELSE q.kind END, q.e DESC) = 1
+)
+SELECT p.entry_id, p.piece_no, p.s::INT AS start_pos, p.e::INT AS end_pos, CASE WHEN t.bare THEN '' WHEN p.piece_no = 1 THEN t.topic ELSE t.topic || '/' || p.piece_no END AS piece_topic FROM p JOIN t USING (entry_id)
 """,
     "p7_found": r"""
 WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
