@@ -62,6 +62,20 @@ u AS (SELECT space, seq, list_transform(e, lambda y: y::DOUBLE) AS e FROM x WHER
 p AS (SELECT a.space, a.seq AS s, b.seq AS t, round(list_cosine_similarity(a.e, b.e), 6) AS c FROM u a JOIN u b ON a.space = b.space AND a.seq <> b.seq),
 r AS (SELECT * FROM p WHERE c >= 0.85 QUALIFY row_number() OVER (PARTITION BY space, s ORDER BY c DESC, t) <= 5)
 SELECT DISTINCT space, least(s, t) AS seq_a, greatest(s, t) AS seq_b FROM r
+""",
+    "p3_found": r"""
+WITH RECURSIVE w AS (SELECT row_id, h, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM entry_batches),
+g AS (SELECT DISTINCT row_id, array_to_string(ws[i : i + 2], ' ') AS gram FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 8)),
+n AS (SELECT row_id, count(*) AS n FROM g GROUP BY row_id),
+o AS (SELECT x.row_id AS a, y.row_id AS b, count(*) AS o FROM g x JOIN g y ON x.gram = y.gram AND x.row_id < y.row_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM o JOIN n x ON x.row_id = a JOIN n y ON y.row_id = b WHERE 8 * o >= 3 * (x.n + y.n) UNION SELECT x.row_id, y.row_id FROM w x JOIN w y ON x.h = y.h AND x.row_id < y.row_id),
+st(id, ok) USING KEY (id) AS (
+  SELECT row_id, TRUE FROM w WHERE row_id NOT IN (SELECT b FROM near)
+  UNION
+  SELECT b, NOT hit FROM (SELECT n.b, bool_or(coalesce(s.ok, FALSE)) AS hit, bool_and(s.id IS NOT NULL) AS known FROM near n LEFT JOIN recurring.st s ON s.id = n.a
+    WHERE n.b NOT IN (SELECT id FROM recurring.st) GROUP BY n.b) WHERE hit OR known
+)
+SELECT min(n.a) AS kept_id, n.b AS dup_id FROM near n JOIN st s ON s.id = n.a AND s.ok GROUP BY n.b
 """,
     "p4_found": r"""
 WITH RECURSIVE w AS (SELECT seq, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM entry_log WHERE text IS NOT NULL AND coalesce(kind, '') NOT IN ('keep', 'retract', 'alias')),
