@@ -101,3 +101,21 @@ def test_written_tables_are_cleared(spark):
 
     df = materialise(spark.range(3))
     assert df.count() == 3 and clear_written(spark) >= 1 and clear_written(spark) == 0
+
+
+def test_feed_as_a_stream(spark, tmp_path):
+    from verbatrix.streaming.changes import COLUMNS, FeedTable, follow
+
+    rng = random.Random(8)
+    rows = [(i, "s", f"h{rng.randrange(30)}", f"2024-01-0{rng.randrange(1, 9)}", rng.choice(["note", "note", "retract", "keep"]), rng.choice([None, "t", "u"]), f"h{rng.randrange(30)}", [(f"h{rng.randrange(30)}", 0.8)], "x") for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in current_entries(df).collect()}
+    t = FeedTable(spark, str(tmp_path / "a"))
+    for n, part in enumerate((df.filter("seq % 3 = 1"), df.filter("seq % 3 = 0"), df.filter("seq % 3 = 2"), df.limit(0))):
+        t.advance(part, n)
+        t.advance(part, n)
+    assert {tuple(r) for r in t.current().collect()} == want
+    src = str(tmp_path / "in")
+    df.select(*COLUMNS).repartition(4).write.parquet(src)
+    stream = spark.readStream.schema(df.select(*COLUMNS).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    assert {tuple(r) for r in follow(spark, stream, str(tmp_path / "b")).current().collect()} == want
