@@ -13,6 +13,7 @@ are therefore decided in rounds, in each of which every row accepted is first am
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -172,11 +173,15 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     )
 
     taken = accepted.select(F.col("id").alias("kept"), "h", "cid")
-    index.append("identities", taken.filter("h is not null").select("h", "kept"))
     texts = taken.filter("cid is not null").select("cid", "kept")
-    index.append("contents", texts.join(classes.select("digest", "cid"), "cid").select("digest", "kept"))
-    index.append("units", texts.join(units, "cid").select("gram", "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
-    index.append("sets", texts.join(sets, "cid").select("kept", F.col("grams").alias("kgrams")))
+    made = {
+        "identities": taken.filter("h is not null").select("h", "kept"),
+        "contents": texts.join(classes.select("digest", "cid"), "cid").select("digest", "kept"),
+        "units": texts.join(units, "cid").select("gram", "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")),
+        "sets": texts.join(sets, "cid").select("kept", F.col("grams").alias("kgrams")),
+    }
+    with ThreadPoolExecutor(len(made)) as at_once:
+        list(at_once.map(lambda kind: index.append(kind, made[kind]), made))
     return out
 
 
