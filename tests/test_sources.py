@@ -64,7 +64,7 @@ def test_store_and_command_line(spark, tmp_path):
     do("remember", "roses need pruning", "--at", "2024-01-03T00:00:00Z", "--slot", "season=spring")
     h = {r["text"]: r["h"] for r in Store(spark, at).log().collect()}
     assert len(h) == 4
-    assert do("remember", "roses need pruning", "--at", "2024-01-04T00:00:00Z", "--infer")[0]["displaced"][0]["w"] == 0.9
+    assert do("remember", "roses need pruning", "--at", "2024-01-04T00:00:00Z", "--slot", "season=spring", "--infer")[0]["displaced"][0]["w"] == 0.9
     do("keep", h["roses need pruning"][:6])
     assert do("question", h["roses need pruning"], "when to prune?", "when to prune?")[0]["added"] == 1
     assert do("question", h["roses need pruning"], "when to prune?")[0]["added"] == 0
@@ -94,6 +94,21 @@ def test_store_and_command_line(spark, tmp_path):
         connector("ipfs://x")
 
 
+def test_lifted_and_bound(spark, tmp_path, monkeypatch):
+    import io
+
+    at = str(tmp_path / "s")
+    do = lambda *a: run(["--store", at, *a], spark)
+    do("init", "--dim", "256", "--d-embed", "64", "--sigma", "1.0")
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"text": "the gate opens at nine", "at": "2024-01-01", "slots": {"site": "north"}}\n# x\n\n{"text": "the gate opens at nine", "at": "2024-01-02", "slots": {"site": "south"}}\n'))
+    assert do("ingest", "jsonl", "-")[0]["added"] == 2
+    best = {site: do("ask", "the gate opens at nine", "--slot", f"site={site}", "--top", "1")[1] for site in ("north", "south")}
+    assert best["north"]["at"] == "2024-01-01" and best["south"]["at"] == "2024-01-02"
+    assert best["north"]["res"] > 0.99
+    with pytest.raises(ValueError):
+        do("ingest", "ledger", "-")
+
+
 def test_mirror_heals(spark, tmp_path):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     for p, dim in ((a, "32"), (b, "16")):

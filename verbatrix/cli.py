@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
@@ -15,26 +16,17 @@ from .operators.infer import displacements, with_displacements
 from .plans.ask import ask, in_scope
 from .schema import ENTRY, StoreConfig
 from .session import local_session
-from .sources.embed import EMBEDDERS, embed_distinct, with_vectors
+from .sources.embed import EMBEDDERS, fold_vectors, question_vector
 from .sources.stores import Store
-from .sources.translate import TRANSLATORS, ingest
+from .sources.translate import TRANSLATORS, ingest, jsonl
 
 
 def now() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
 
 
-def vectors_of(log, cfg: StoreConfig):  # noqa: ANN001, ANN201
-    """(store, h, k, v) of a log's entries and aliases by the store's embedder: the key is the topic or else the text, the value the text; an
-    alias has its parent's value."""
-    rows = L.distinct_log(log).filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract"))
-    rows = rows.select("store", "h", "target", "kind", "text", F.when(F.col("topic") != "", F.col("topic")).otherwise(F.col("text")).alias("address"))
-    texts = rows.select("text").unionByName(rows.select(F.col("address").alias("text"))).distinct()
-    e = embed_distinct(texts, cfg.model, cfg.dim)
-    own = with_vectors(with_vectors(rows, "text", "v", e), "address", "k", e)
-    parent = own.select("store", F.col("h").alias("target"), F.col("v").alias("pv"))
-    out = own.join(parent, ["store", "target"], "left")
-    return out.select("store", "h", "k", F.when(F.col("kind") == "alias", F.col("pv")).otherwise(F.col("v")).alias("v"))
+def slots_of(pairs: list[str]) -> dict[str, str]:
+    return dict(p.split("=", 1) if "=" in p else (p, "") for p in pairs)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,13 +39,13 @@ def parser() -> argparse.ArgumentParser:
         for a, opts in args:
             s.add_argument(*a.split(), **opts)
 
-    verb("init", ("--model", {"default": "hashed", "choices": sorted(EMBEDDERS)}), ("--dim", {"type": int, "default": 256}), ("--beta", {"type": float, "default": 1.0}), ("--seed", {"type": int, "default": 7}))
+    verb("init", ("--model", {"default": "hashed", "choices": sorted(EMBEDDERS)}), ("--dim", {"type": int, "default": 256}), ("--beta", {"type": float, "default": 1.0}), ("--seed", {"type": int, "default": 7}), ("--sigma", {"type": float}), ("--d-embed", {"type": int}))
     verb("remember", ("text", {}), ("--topic", {}), ("--kind", {"default": "note"}), ("--at", {}), ("--question", {"action": "append", "default": []}), ("--slot", {"action": "append", "default": []}), ("--infer", {"action": "store_true"}))
     verb("question", ("hash", {}), ("questions", {"nargs": "+"}))
     verb("keep", ("hash", {}))
     verb("forget", ("hashes", {"nargs": "*"}), ("--last", {"type": int, "default": 0}))
     verb("ingest", ("format", {"choices": sorted(TRANSLATORS)}), ("paths", {"nargs": "+"}), ("--at", {}))
-    verb("ask", ("question", {}), ("--top", {"type": int, "default": 5}), ("--as-of", {}), ("--current", {"action": "store_true"}), ("--from", {"dest": "only", "default": "all"}), ("--except", {"dest": "exclude", "action": "append", "default": []}))
+    verb("ask", ("question", {}), ("--top", {"type": int, "default": 5}), ("--as-of", {}), ("--current", {"action": "store_true"}), ("--slot", {"action": "append", "default": []}), ("--from", {"dest": "only", "default": "all"}), ("--except", {"dest": "exclude", "action": "append", "default": []}))
     verb("show", ("hash", {}))
     verb("log", ("--top", {"type": int, "default": 20}), ("--all", {"action": "store_true"}))
     verb("topics")
@@ -70,19 +62,18 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
     a = parser().parse_args(argv)
     spark = spark or local_session()
     if a.verb == "init":
-        Store.create(spark, a.store, StoreConfig(a.model, a.dim, a.beta, None, a.seed, a.dim))
+        Store.create(spark, a.store, StoreConfig(a.model, a.dim, a.beta, a.sigma, a.seed, a.d_embed or a.dim))
         return [{"store": a.store}]
     store = Store(spark, a.store)
     if a.verb == "remember":
-        slots = dict(s.split("=", 1) if "=" in s else (s, "") for s in a.slot)
-        row = (a.text, a.topic, a.at or now(), a.kind, slots, [], None, a.question)
+        row = (a.text, a.topic, a.at or now(), a.kind, slots_of(a.slot), [], None, a.question)
         entry = spark.createDataFrame([row], ENTRY)
         if a.infer and not a.topic:
             from .functions.identity import identity_column
 
             start = (store.log().agg(F.max("seq")).first()[0] or 0) + 1
             trial = store.log().unionByName(entry.withColumn("store", F.lit(store.name)).withColumn("h", identity_column()).withColumn("seq", F.lit(start).cast("bigint")))
-            found = displacements(trial, vectors_of(trial, store.config), store.config.dim).filter(F.col("seq") == start)
+            found = displacements(trial, fold_vectors(trial, store.config), store.config.dim).filter(F.col("seq") == start)
             entry = with_displacements(trial.filter(F.col("seq") == start), found).select(*ENTRY.names)
             shown = [r.asDict() for r in found.select("target_h", "w", attenuation_reading(F.col("w")).alias("reading")).collect()]
             return [{"added": store.append(entry), "displaced": shown}]
@@ -95,7 +86,13 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
     if a.verb == "forget":
         return [{"forgotten": store.forget(a.hashes, now(), a.last)}]
     if a.verb == "ingest":
-        entries = ingest(spark, a.format, a.paths, a.at)
+        if a.paths == ["-"]:
+            if a.format != "jsonl":
+                raise ValueError("standard input must be jsonl")
+            entries = jsonl(spark.createDataFrame([(line,) for line in sys.stdin], "value string"))
+            entries = entries if a.at is None else entries.withColumn("at", F.lit(a.at))
+        else:
+            entries = ingest(spark, a.format, a.paths, a.at)
         return [{"read": entries.count(), "past_horizon": entries.filter(past_horizon(F.col("text"))).count(), "added": store.append(entries)}]
     if a.verb == "ask":
         readable, warnings = store.readable()
@@ -104,9 +101,8 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
         pool = logs[0]
         for x in logs[1:]:
             pool = pool.unionByName(x)
-        model = EMBEDDERS[store.config.model](store.config.dim)
-        q = model.passages([model.query_prefix + a.question])[0]
-        found = ask(pool, vectors_of(pool, store.config), q, a.question, store.config, a.top, warnings, as_of=a.as_of, current_only=a.current)
+        q = question_vector(a.question, store.config, slots_of(a.slot))
+        found = ask(pool, fold_vectors(pool, store.config), q, a.question, store.config, a.top, warnings, as_of=a.as_of, current_only=a.current)
         return [{"support": found.support, "verdict": found.verdict, "warnings": found.warnings}, *found.hits, *({"hit": i, **r} for i, rs in enumerate(found.related) for r in rs)]
     log = store.log()
     if a.verb == "show":
@@ -120,7 +116,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
     if a.verb == "topics":
         return [r.asDict() for r in L.topic_listing(log).orderBy("topic").collect()]
     if a.verb == "stats":
-        g = gauges(fold(operations(log, vectors_of(log, store.config)), store.config.dim, store.config.beta))
+        g = gauges(fold(operations(log, fold_vectors(log, store.config)), store.config.dim, store.config.beta))
         return [r.asDict() for r in L.stats(log).join(g, "store", "left").collect()]
     if a.verb == "others":
         if a.action == "add":
@@ -137,7 +133,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
         return [{"entries": out.log().count()}]
     if a.verb == "recompile":
         # vectors and state are derived when they are read: another model is the same log under another configuration
-        cfg = StoreConfig(**{**store.config.to_dict(), "model": a.model, "dim": a.dim or store.config.dim})
+        cfg = StoreConfig(**{**store.config.to_dict(), "model": a.model, "dim": a.dim or store.config.dim, "d_embed": a.dim or store.config.d_embed})
         out = Store.create(spark, a.out, cfg)
         log.write.parquet(out.table)
         return [{"entries": out.log().count()}]

@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import unit_rows
+from ..functions.vectors import Lift, bind_slots, unit_rows
+from ..schema import StoreConfig
 
 TOKEN = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
@@ -86,3 +87,46 @@ def with_vectors(df: DataFrame, column: str, out: str, embedded: DataFrame) -> D
     """df with the vector of a text column from (digest, vec)."""
     e = embedded.select(F.col("digest").alias("_d"), F.col("vec").alias(out))
     return df.withColumn("_d", F.substring(F.sha2(F.col(column), 256), 1, 32)).join(e, "_d", "left").drop("_d")
+
+
+def lift_of(cfg: StoreConfig) -> Lift | None:
+    """The projection from embeddings to fold space; none where the embedder already has the store's width and keys are linear."""
+    return None if cfg.d_embed == cfg.dim and not cfg.sigma else Lift(cfg.d_embed, cfg.dim, cfg.seed, cfg.sigma)
+
+
+def question_vector(question: str, cfg: StoreConfig, slots: dict[str, str] | None = None) -> np.ndarray:
+    """The address a question asks at: lifted like a key where keys aren't linear, bound to its slots."""
+    model = EMBEDDERS[cfg.model](cfg.d_embed)
+    x = np.asarray(model.passages([model.query_prefix + question]), np.float64)
+    lift = lift_of(cfg)
+    if lift is not None:
+        x = lift.keys(x) if cfg.sigma else lift.values(x)
+    return bind_slots(x[0], slots, cfg.seed)
+
+
+def fold_vectors(log: DataFrame, cfg: StoreConfig) -> DataFrame:
+    """(store, h, k, v) of a log's entries and aliases. The key is of the topic, or else the text, bound to the slots; the value is of the text;
+    an alias has its parent's value. Keeps and retracts have none. Every distinct text is embedded once."""
+    from ..operators.log import distinct_log
+
+    rows = distinct_log(log).filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract"))
+    rows = rows.select("store", "h", "target", "kind", "text", "slots", F.when(F.col("topic") != "", F.col("topic")).otherwise(F.col("text")).alias("address"))
+    texts = rows.select("text").unionByName(rows.select(F.col("address").alias("text")))
+    e = embed_distinct(texts, cfg.model, cfg.d_embed)
+    own = with_vectors(with_vectors(rows, "text", "v", e), "address", "k", e).filter("v is not null and k is not null")
+    lift = lift_of(cfg)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for b in batches:
+            if not len(b):
+                continue
+            k, v = np.stack(b["k"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
+            if lift is not None:
+                k, v = lift.keys(k), lift.values(v)
+            k = [bind_slots(x, dict(zip(n, y)) if n is not None else None, cfg.seed) for x, n, y in zip(k, b["names"], b["given"])]
+            yield b[["store", "h", "target", "kind"]].assign(k=[x.tolist() for x in k], v=v.tolist())
+
+    given = own.select("store", "h", "target", "kind", F.map_keys("slots").alias("names"), F.map_values("slots").alias("given"), "k", "v")
+    made = given.mapInPandas(run, "store string, h string, target string, kind string, k array<double>, v array<double>")
+    parent = made.select("store", F.col("h").alias("target"), F.col("v").alias("pv"))
+    return made.join(parent, ["store", "target"], "left").select("store", "h", "k", F.when(F.col("kind") == "alias", F.col("pv")).otherwise(F.col("v")).alias("v"))

@@ -43,7 +43,7 @@ def lines_of(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 def _records(lines: DataFrame) -> DataFrame:
     """Lines that are neither blank nor comments."""
-    line = F.trim(F.col("value"))
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
     return lines.select(line.alias("value")).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
 
 
