@@ -72,3 +72,18 @@ def test_hot_vector(spark):
     df = spark.range(3000).select(F.lit("s").alias("space"), "id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.sin("id"), F.cos("id"))).cast("array<float>").alias("vec"))
     got = nearest(df, 2, 0.9999999, width=2).filter("id % 3 = 0").groupBy("id").agg(F.collect_list("neighbour").alias("n")).collect()
     assert len(got) == 1000 and all(set(r["n"]) <= {0, 3, 6} for r in got)
+
+
+def test_tight_group(spark):
+    """A third of all rows, all different, near one template: exact neighbours, over several tiles."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 32))
+    x[::3] = rng.standard_normal(32) + 0.05 * rng.standard_normal((2000, 32))
+    x = np.float32(x)
+    df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in nearest(df, 5, 0.85, width=32, block=64, curves=4, tile=300).filter("id % 3 = 0").collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    want = brute(list(range(0, 6000, 3)), np.float64(x[::3]), 5, 0.85)
+    hit = sum(len({j for _, j in got.get(i, [])} & {j for j, _ in l}) for i, l in want.items())
+    assert len(want) == 2000 and hit / sum(map(len, want.values())) >= 0.999
