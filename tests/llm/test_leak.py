@@ -45,3 +45,11 @@ def test_both_ways(spark, tables):
     assert clean.columns == d.columns and clean.count() == len(docs)
     assert plain([(r["doc_id"], r["text"]) for r in clean.collect() if r["doc_id"] == 42], items) == set()
     assert {r["text"] for r in clean.filter("doc_id = 42").collect()} == {"x  y"}
+
+
+def test_longer_in_lower_case(spark):
+    """Only the span goes where lower-casing makes the text longer."""
+    docs = spark.createDataFrame([(1, "İİ before, ONE TWO three; after İ"), (2, "of İ two"), (3, "ΣΑΣ İ, one two three")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "of İ")], "item_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in remove_leaks(docs, items).collect()}
+    assert got == {1: "İİ before, ; after İ", 2: " two", 3: "ΣΑΣ İ, "}

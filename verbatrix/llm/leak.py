@@ -161,16 +161,14 @@ def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 10, doc_key: str =
             for r, p, k, _ in shared.value.hits(texts):
                 runs.setdefault(r, []).append((p, p + k))
             for r, found in runs.items():
-                # lower-casing may change a text's length: positions are taken where it doesn't, else the text goes
+                # lower-casing may change a text's length: the character that each one of the lower-cased text comes from
                 t = texts[r]
                 low = t.lower()
                 at = [m.span() for m in WORD.finditer(low)]
-                if len(low) != len(t):
-                    texts[r] = ""
-                    continue
+                of = range(len(t)) if len(low) == len(t) else [i for i, c in enumerate(t) for _ in c.lower()]
                 drop = np.zeros(len(t), bool)
                 for a, e in found:
-                    drop[at[a][0] : at[e - 1][1]] = True
+                    drop[of[at[a][0]] : of[at[e - 1][1] - 1] + 1] = True
                 texts[r] = "".join(c for c, d in zip(t, drop) if not d)
             i = b.schema.get_field_index(text)
             yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
