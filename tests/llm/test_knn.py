@@ -87,3 +87,20 @@ def test_tight_group(spark):
     want = brute(list(range(0, 6000, 3)), np.float64(x[::3]), 5, 0.85)
     hit = sum(len({j for _, j in got.get(i, [])} & {j for j, _ in l}) for i, l in want.items())
     assert len(want) == 2000 and hit / sum(map(len, want.values())) >= 0.999
+
+
+def test_small_tight_groups(spark):
+    """Groups below the size of a crowd, closer together than the rounding to bytes can tell."""
+    for size, noise in ((60, 0.002), (100, 0.0005), (300, 0.002)):
+        rng = np.random.default_rng(size)
+        x = rng.standard_normal((1500, 64))
+        x[:size] = rng.standard_normal(64) + noise * rng.standard_normal((size, 64))
+        x = np.float32(x)
+        df = spark.createDataFrame([("s", i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+        for least in (0.85, None):
+            got = {}
+            for r in nearest(df, 5, least, curves=8).filter(f"id < {size}").collect():
+                got.setdefault(r["id"], set()).add(r["neighbour"])
+            want = brute(list(range(1500)), np.float64(x), 5, 0.85)
+            hit = sum(len(got[i] & {j for j, _ in want[i]}) for i in range(size))
+            assert hit / (5 * size) >= 0.99

@@ -81,47 +81,73 @@ class Curves:
         return (unit @ self.within[curve]).astype(np.float32)
 
 
-def _floats(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, width)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best(scores: np.ndarray, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of what is at least `least`, of each row the `most` best."""
-    rows, cols = np.nonzero(scores >= least)
-    if len(rows):
-        counts = np.bincount(rows, minlength=len(scores))
-        if counts.max() > most:
-            order = np.lexsort((-scores[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-            rows, cols = rows[place < most], cols[place < most]
-    return rows, cols
+def _fixed(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """A binary column of equally long values as a matrix, without an object a value."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], kind, count=(int(at[-1]) - int(at[0])) // size, offset=int(at[0])).reshape(-1, width)
+
+
+def _reach(rows: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of each row the score from which it keeps candidates: twice the rounding error below its k-th best."""
+    order = np.lexsort((-values, rows))
+    counts = np.bincount(rows, minlength=n)
+    first = np.cumsum(counts) - counts
+    out = np.full(n, -np.inf)
+    full = counts >= k
+    out[full] = values[order][first[full] + k - 1] - 2 * SLACK
+    return out
+
+
+def _candidates(s: np.ndarray, k: int, least: float, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block of scores (rounded vectors): row and column of every pair that may be among the k best of either end and reach `least`,
+    and how many scores of at least `close` each row and each column has."""
+    i, j = np.divmod(np.flatnonzero(s.ravel() >= least), s.shape[1])
+    v = s[i, j]
+    near = v >= close
+    rows, cols = (np.bincount(x[near], minlength=n) for x, n in ((i, s.shape[0]), (j, s.shape[1])))
+    keep = (v >= _reach(i, v, s.shape[0], k)[i]) | (v >= _reach(j, v, s.shape[1], k)[j])
+    return i[keep], j[keep], rows, cols
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[tuple | None, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int, width: int) -> Iterator[tuple[tuple | None, np.ndarray, np.ndarray]]:
     """(space and curve, ids, unit vectors) of consecutive blocks of a sorted partition; no block spans two curves."""
-    ids: list[int] = []
-    vecs: list[bytes] = []
-    run = None
+    ids: list[np.ndarray] = []
+    vecs: list[np.ndarray] = []
+    run, held = None, 0
 
     def made():  # noqa: ANN202
-        q = np.frombuffer(b"".join(vecs), np.int8).reshape(len(vecs), -1).astype(np.float32)
-        return run, np.array(ids), q / np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.concatenate(vecs).astype(np.float32)
+        return run, np.concatenate(ids), q / np.linalg.norm(q, axis=1, keepdims=True)
 
     for b in batches:
-        for r, i, v in zip(zip(b.column("space").to_pylist(), b.column("curve").to_pylist()), b.column("rep").to_pylist(), b.column("small").to_pylist()):
-            if ids and (r != run or len(ids) == block):
+        n = b.num_rows
+        if not n:
+            continue
+        space = b.column("space").dictionary_encode()
+        curve, of = b.column("curve").to_numpy(), space.indices.to_numpy(zero_copy_only=False)
+        small, rep = _fixed(b.column("small"), np.int8, width), b.column("rep").to_numpy()
+        cut = [0, *(np.flatnonzero((curve[1:] != curve[:-1]) | (of[1:] != of[:-1])) + 1).tolist(), n]
+        for s, e in zip(cut, cut[1:]):
+            now = (space.dictionary[int(of[s])].as_py(), int(curve[s]))
+            if held and now != run:
                 yield made()
-                ids, vecs = [], []
-            run = r
-            ids.append(i)
-            vecs.append(v)
-    if ids:
+                ids, vecs, held = [], [], 0
+            run = now
+            while s < e:
+                if held == block:
+                    yield made()
+                    ids, vecs, held = [], [], 0
+                m = min(block - held, e - s)
+                ids.append(rep[s : s + m])
+                vecs.append(small[s : s + m])
+                held, s = held + m, s + m
+    if held:
         yield made()
 
 
@@ -133,7 +159,7 @@ def _crowd_neighbours(dense: DataFrame, made: Curves, k: int, low: float, decima
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                unit = _unit(_floats(b.column("vec"), width))
+                unit = _unit(_fixed(b.column("vec"), np.float32, width))
                 yield pa.RecordBatch.from_arrays([b.column("space"), b.column("rep"), b.column("vec"), b.column("floor"), pa.array(made.keys(unit, 0)), pa.array(made.fine(unit, 0))], ["space", "rep", "vec", "floor", "key", "fine"])
 
     kinds = "space string, rep bigint, vec binary, floor double"
@@ -157,7 +183,7 @@ def _crowd_neighbours(dense: DataFrame, made: Curves, k: int, low: float, decima
 
     def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
-        unit = _unit(_floats(got.column("vec").combine_chunks(), width))
+        unit = _unit(_fixed(got.column("vec").combine_chunks(), np.float32, width))
         mid = unit.sum(axis=0)
         mid = mid / norm if (norm := np.linalg.norm(mid)) > 1e-9 else unit[0]
         reach = float(np.arccos(np.clip((unit @ mid).min(), -1, 1)))
@@ -180,7 +206,7 @@ def _crowd_neighbours(dense: DataFrame, made: Curves, k: int, low: float, decima
     def multiplied(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches)).combine_chunks()
         x, y = key[0].as_py(), key[1].as_py()
-        unit, ids, floor, of = _unit(_floats(got.column("vec").combine_chunks(), width)), got.column("rep").to_numpy(), got.column("floor").to_numpy(), got.column("tile").to_numpy()
+        unit, ids, floor, of = _unit(_fixed(got.column("vec").combine_chunks(), np.float32, width)), got.column("rep").to_numpy(), got.column("floor").to_numpy(), got.column("tile").to_numpy()
         sides = [(np.flatnonzero(of == x), np.flatnonzero(of == y))]
         if x != y:
             sides.append(sides[0][::-1])
@@ -212,7 +238,8 @@ def nearest(df: DataFrame, k: int = 5, min_cosine: float | None = None, width: i
     are ranked by id. With min_cosine, only neighbours at least that similar are wanted. What the search may miss: pairs that
     are in no common window of 2 x `block` on any curve (the README has measured recalls), unless both are of the crowd: vectors
     that in some window have a quarter of a block or more others of cosine `crowded` (or min_cosine, if that is higher). The crowd's
-    neighbours within it are exact.
+    neighbours within it are exact. Within a window nothing is missed: vectors are rounded to bytes there, and every pair goes on to the exact
+    ranking that is within twice the rounding error of the k-th best of either end, however many there are.
 
     Left out, neither searching nor found: null vectors, those of another width, with null or non-finite numbers, all zero.
     Vectors need not have unit length. Repeated vectors are each other's neighbours with cosine 1. An empty table gives no
@@ -244,29 +271,24 @@ def nearest(df: DataFrame, k: int = 5, min_cosine: float | None = None, width: i
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = _unit(_floats(b.column("vec"), width))
+            unit = _unit(_fixed(b.column("vec"), np.float32, width))
             small = pa.array([r.tobytes() for r in np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)], pa.binary())
             for c in range(curves):
                 yield pa.RecordBatch.from_arrays([b.column("space"), pa.repeat(pa.scalar(c, pa.int32()), b.num_rows), pa.array(made.keys(unit, c)), pa.array(made.fine(unit, c)), b.column("rep"), small], ["space", "curve", "key", "fine", "rep", "small"])
 
     least = -2.0 if min_cosine is None else min_cosine - SLACK
-    most = max(2 * k, 32)
     close = max(crowded, least)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
-        for run, ids, x in _blocks(batches, block):
-            parts = [(ids, ids, x @ x.T)]
-            np.fill_diagonal(parts[0][2], -3)
+        for run, ids, x in _blocks(batches, block, width):
+            s = x @ x.T
+            np.fill_diagonal(s, -3)
+            i, j, dense, _ = _candidates(s, k, least, close)
+            found = [(ids[i], ids[j]), (ids[dense >= block // 4],) * 2]
             if before is not None and before[0] == run:
-                s = before[2] @ x.T
-                parts += [(before[1], ids, s), (ids, before[1], s.T)]
-            found = []
-            for a, b, s in parts:
-                i, j = _best(s, most, least)
-                found.append((a[i], b[j]))
-                dense = a[(s >= close).sum(axis=1) >= block // 4]
-                found.append((dense, dense))
+                i, j, dense, dense_too = _candidates(before[2] @ x.T, k, least, close)
+                found += [(before[1][i], ids[j]), (before[1][dense >= block // 4],) * 2, (ids[dense_too >= block // 4],) * 2]
             a, b = (np.concatenate(p) for p in zip(*found))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(run[0], pa.string()), len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["space", "a", "b"])
@@ -284,7 +306,7 @@ def nearest(df: DataFrame, k: int = 5, min_cosine: float | None = None, width: i
         for b in batches:
             if not b.num_rows:
                 continue
-            cos = np.round(np.einsum("ij,ij->i", _unit(_floats(b.column("va"), width)), _unit(_floats(b.column("vb"), width))), decimals)
+            cos = np.round(np.einsum("ij,ij->i", _unit(_fixed(b.column("va"), np.float32, width)), _unit(_fixed(b.column("vb"), np.float32, width))), decimals)
             yield pa.RecordBatch.from_arrays([b.column("space"), b.column("a"), b.column("b"), pa.array(cos)], ["space", "a", "b", "cosine"])
 
     side = lambda c: distinct.select(F.col("space"), F.col("rep").alias(c), F.col("vec").alias(f"v{c}"))
