@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verbatrix.llm.split import boundaries, pieces, split_oversized, weakest_merged
+from verbatrix.llm.split import boundaries, merged, pieces, split_oversized
 
 TESTS = (
     lambda t, e: t[e - 1] == "\n" and re.search(r"\n[ \t\r]*\Z", t[: e - 1]),
@@ -34,8 +34,16 @@ def test_pieces(t):
 
 
 def test_weakest_boundary_goes_first():
-    at, strength = boundaries("a b. c\n\nd e\nf")
-    assert at[weakest_merged(at, strength, 0, len(at))] == len("a b. c\n\n")
+    text = "a b. c\n\nd e\nf"
+    at, strength = boundaries(text)
+    # all but one boundary are merged away where everything but the whole fits
+    assert merged(0, at, strength, len(text), len(text) - 1) == ([len("a b. c\n\n")], len(at) - 1)
+    # what fits is merged completely, what doesn't isn't
+    assert merged(0, at, strength, len(text), len(text)) == ([], len(at))
+    assert merged(0, [4, 8], [1, 1], 12, 3) == ([4, 8], 0)
+    # the weakest pair is merged first, and the pair that doesn't fit afterwards keeps its cut
+    assert merged(0, [4, 8], [2, 1], 12, 8) == ([4], 1)
+    assert merged(0, [4, 8], [1, 2], 12, 8) == ([8], 1)
 
 
 def test_table(spark):

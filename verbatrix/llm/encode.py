@@ -119,14 +119,20 @@ def encode_corpus(df: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), lists([stitch(p, enc) for p in b.column("parts").to_pylist()])], ["key", "ids"])
 
-    step = chunk
-    cut = (
-        src.filter(is_long)
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "key", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))).alias("no"))
-        .select("row", "key", (F.col("no") * step).alias("at"), F.expr(f"substring(text, no * {step} + 1, {step + overlap})").alias("text"), (F.length("text") <= (F.col("no") + 1) * step + overlap).alias("last"))
-        .repartition("row", "at")
-    )
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r, x in enumerate(b.column("text").to_pylist()):
+                at = range(0, len(x), chunk)
+                for a in range(0, len(at), 256):  # a very long text leaves in several batches
+                    some = at[a : a + 256]
+                    rows = pa.array([r] * len(some))
+                    last = [i + chunk + overlap >= len(x) for i in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("row").take(rows), b.column("key").take(rows), pa.array(some, pa.int32()), pa.array([x[i : i + chunk + overlap] for i in some]), pa.array(last)], ["row", "key", "at", "text", "last"]
+                    )
+
+    cut = src.filter(is_long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(sliced, f"row bigint, key {kind}, at int, text string, last boolean")
+    cut = cut.repartition("row", "at")
     coded = cut.mapInArrow(chunks, f"row bigint, key {kind}, at int, text string, bounds array<int>, ids array<int>, count array<int>")
     long = coded.groupBy("row").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("at", "text", "bounds", "ids", "count"))).alias("parts")).select("key", "parts")
     long = long.mapInArrow(stitched, f"key {kind}, ids array<int>")

@@ -1,9 +1,9 @@
 """Splitting oversized texts at natural boundaries, with a fixed overlap between consecutive pieces.
 
-Method: agglomerative merging. The text is cut into atomic segments at every boundary; adjacent segments are held in a heap
-by the strength of the boundary between them; the weakest boundary is merged away first (of equal ones the leftmost). It is
-done in the window in which the next cut must lie, so what is merged always fits the limit with the overlap; the one boundary
-left is the cut. Whole-text merging without windows can't give pieces that start a fixed overlap before the last cut.
+Method: agglomerative merging. The text is cut into atomic segments at every boundary; the pairs of adjacent segments are held in
+a heap by the strength of the boundary between them, and the weakest (of equal ones the leftmost) is merged first, as long as
+the merged segment fits the limit. What can't be merged any more is cut. A piece starts a fixed overlap before the last cut, so merging is
+done from each start on, over the text that can belong to its piece and one character more: that can't all be merged, so a cut is left.
 """
 
 from __future__ import annotations
@@ -41,13 +41,27 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
     return at, strength
 
 
-def weakest_merged(at: list[int], strength: list[int], lo: int, hi: int) -> int:
-    """Merge the segments between boundaries lo..hi-1 over the weakest boundary, again and again, until one is left: its index."""
-    heap = list(zip(strength[lo:hi], at[lo:hi], range(lo, hi)))
-    heapq.heapify(heap)
-    for _ in range(hi - lo - 1):
-        heapq.heappop(heap)
-    return heap[0][2]
+def merged(start: int, cuts: list[int], strength: list[int], end: int, limit: int) -> tuple[list[int], int]:
+    """The cuts that are left when the segments between start, the cuts and end are merged, and the number of merges.
+
+    Segments are linked through their borders: before[i] and after[i] are the next borders that still stand left and right of cut i. A pair that
+    doesn't fit when its turn comes never will, since segments only grow: its cut stays."""
+    n = len(cuts)
+    border = [*cuts, end, start]  # of index n the end, of index -1 the start
+    before, after = list(range(-1, n)), list(range(1, n + 2))
+    pairs = list(zip(strength, range(n)))
+    heapq.heapify(pairs)
+    left, merges = [], 0
+    while pairs:
+        i = heapq.heappop(pairs)[1]
+        a, b = before[i], after[i]
+        if border[b] - border[a] > limit:
+            left.append(cuts[i])
+            continue
+        merges += 1
+        after[a] = b
+        before[b] = a
+    return sorted(left), merges
 
 
 def pieces(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
@@ -59,8 +73,12 @@ def pieces(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, i
     out: list[tuple[int, int]] = []
     s = 0
     while n - s > limit:
+        # up to `least` characters are one atom: a piece is longer than that; the limit is a cut weaker than all others
         lo, hi = bisect_right(at, s + least), bisect_right(at, s + limit)
-        e = at[weakest_merged(at, strength, lo, hi)] if hi > lo else s + limit
+        cuts, strong = at[lo:hi], strength[lo:hi]
+        if not cuts or cuts[-1] != s + limit:
+            cuts, strong = [*cuts, s + limit], [*strong, 0]
+        e = merged(s, cuts, strong, s + limit + 1, limit)[0][-1]
         out.append((s, e))
         s = e - overlap
     out.append((s, n))
