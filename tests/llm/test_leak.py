@@ -37,12 +37,13 @@ def test_both_ways(spark, tables):
     i = spark.createDataFrame(items, "item_id bigint, text string").withColumn("item", F.lit(1))
     want = plain(docs, items)
     assert {tuple(r) for r in find_leaks(d, i).collect()} == want and len(want) > 20
-    assert sorted(tuple(r) for r in find_leaks(d, i, broadcast_chars=0).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in find_leaks(d, i, broadcast_words=0).collect()) == sorted(want)
     assert find_leaks(d.limit(0), i).count() == find_leaks(d, i.limit(0)).count() == 0
     kept = remove_leaks(d, i, spans=False)
     assert {r["doc_id"] for r in kept.collect()} == {x for x, _ in docs} - {x for x, _ in want}
     clean = remove_leaks(d, i)
     assert clean.columns == d.columns and clean.count() == len(docs)
+    assert sorted(map(str, remove_leaks(d, i, broadcast_words=0).collect())) == sorted(map(str, clean.collect()))
     assert plain([(r["doc_id"], r["text"]) for r in clean.collect() if r["doc_id"] == 42], items) == set()
     assert {r["text"] for r in clean.filter("doc_id = 42").collect()} == {"x  y"}
 
@@ -51,5 +52,6 @@ def test_longer_in_lower_case(spark):
     """Only the span goes where lower-casing makes the text longer."""
     docs = spark.createDataFrame([(1, "İİ before, ONE TWO three; after İ"), (2, "of İ two"), (3, "ΣΑΣ İ, one two three")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "one two three"), (2, "of İ")], "item_id bigint, text string")
-    got = {r["doc_id"]: r["text"] for r in remove_leaks(docs, items).collect()}
-    assert got == {1: "İİ before, ; after İ", 2: " two", 3: "ΣΑΣ İ, "}
+    for words in (0, 100):
+        got = {r["doc_id"]: r["text"] for r in remove_leaks(docs, items, broadcast_words=words).collect()}
+        assert got == {1: "İİ before, ; after İ", 2: " two", 3: "ΣΑΣ İ, "}
