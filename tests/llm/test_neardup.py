@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from verbatrix.llm.batches import AcceptedIndex, admit
+from verbatrix.llm.batches import AcceptedIndex, Scratch, admit, in_one_task, in_rounds
 from verbatrix.llm.components import components
 from verbatrix.llm.neardup import IndexList, close_links, near_duplicate_groups
 
@@ -138,8 +138,8 @@ def test_admit_in_order(spark, words, seed):
     assert index.manifest()["buckets"] == 3
     for a, b in ((0, 100), (100, 101), (101, 180), (180, 180), (180, 240)):  # batches, one of them empty
         if a == 180:  # another session goes on
-            for t in [t for ts in index.parts.values() for t in ts]:
-                spark.sql(f"DROP TABLE {t}")
+            for t in [t for ts in index.tables.values() for t in ts]:
+                spark.sql(f"DROP TABLE {t['name']}")
             index = AcceptedIndex.attach(spark, json.loads(json.dumps(index.manifest())))
         got |= {r["row_id"]: r["kept"] for r in admit(index, df.filter((F.col("row_id") > a) & (F.col("row_id") <= b))).collect()}
     assert got == want
@@ -163,5 +163,53 @@ def test_hot_batch_is_halved(spark, words):
     df = spark.createDataFrame(rows, "row_id bigint, h string, text string")
     got = {r["row_id"]: r["kept"] for r in admit(index, df, pairs_per_entry=0).collect()}
     assert got == accepted(rows)
-    assert len(index.parts["units"]) > 2
+    index.drop()
+
+
+def test_chain_of_close_texts(spark):
+    """Each text is close to the two before it only: decided in one task, and in ranges where that is too many."""
+    rows = [(i + 1, None, " ".join(f"w{j}" for j in range(4 * i, 4 * i + 24))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "row_id bigint, h string, text string")
+    sets = {k: shingles(x) for k, _, x in rows}
+    want, ok = {}, []
+    for k, s in sets.items():
+        want[k] = min((m for m in ok[-3:] if close(s, sets[m], 0.6)), default=None)
+        if want[k] is None:
+            ok.append(k)
+    assert 200 < len(ok) < 900
+    for most in (200_000, 500):
+        index = AcceptedIndex(spark, threshold=0.6, size=3, buckets=2)
+        assert {r["row_id"]: r["kept"] for r in admit(index, df, task_rows=most).collect()} == want
+        index.drop()
+
+
+def test_rounds_equal_one_task(spark):
+    rng = random.Random(5)
+    nodes = [(i, rng.choice([None, f"h{rng.randrange(60)}"]), rng.choice([None, i, rng.randrange(1, i + 1)])) for i in range(1, 300)]
+    near = {(a, b) for a, b in ((rng.randrange(1, 300), rng.randrange(1, 300)) for _ in range(250)) if a != b}
+    n = spark.createDataFrame(nodes, "id bigint, h string, cid bigint")
+    around = spark.createDataFrame(sorted(near | {(b, a) for a, b in near}), "cid bigint, near bigint")
+    one = sorted(map(tuple, in_one_task(n, around).select("id", "kept").collect()))
+    for most in (20, 100):
+        assert sorted(map(tuple, in_rounds(n, around, most, Scratch()).select("id", "kept").collect())) == one
+
+
+def test_new_template_in_later_batches(spark, words):
+    """A footer that the history lacks is in every text of nine batches: its units rise, no list of the index grows with the batches, tables are
+    compacted, and the result is that of plain Python."""
+    rng = random.Random(4)
+    rows, index, got = [], AcceptedIndex(spark, threshold=0.6, size=3, buckets=2), {}
+    longest = []
+    for n in range(10):
+        new = [(1000 * n + i, None, " ".join(rng.choices(words, k=14)) + (" kept by the night watch" if n else "")) for i in range(60)]
+        new += [(1000 * n + 500 + i, None, x) for i, (_, _, x) in enumerate(rng.sample(new, 3))]
+        rows += new
+        got |= {r["row_id"]: r["kept"] for r in admit(index, spark.createDataFrame(new, "row_id bigint, h string, text string")).collect()}
+        longest.append(index.longest_list())
+    assert got == accepted(rows)
+    assert max(longest[1:]) < 64 and longest[-1] < 2 * longest[2] + 16  # 540 texts bear the footer
+    assert all(t["appends"] <= 8 for ts in index.tables.values() for t in ts) and {t["tier"] for t in index.tables["sets"]} == {0, 1}
+    # a group over all tables of a kind is one group, though they are bucketed by its key
+    both = index.joined("units", spark.createDataFrame([(r[0],) for r in index.files("units").select("gram").distinct().collect()], "gram bigint"), ["gram", "kept"])
+    assert both.groupBy("gram").count().count() == both.select("gram").distinct().count() == index.files("units").select("gram").distinct().count()
     index.drop()

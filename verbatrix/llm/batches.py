@@ -3,30 +3,67 @@
 What has been accepted is kept as an index of tables bucketed by hash: identities, content hashes (of the normalised words)
 and unit hashes. A batch is hashed, and bucket-local joins find full copies (content hash) and texts that share units; their
 coverage is verified exactly; what is accepted is appended. The units are the runs of words by which closeness is defined:
-hashes of whole paragraphs, as the method has them, would miss close texts, since an edit changes the paragraph's hash. Only the rare
-units of a text are indexed, enough that close texts share one (prefix filter).
+hashes of whole paragraphs, as the method has them, would miss close texts, since an edit changes the paragraph's hash. Only some units
+of a text are indexed, enough that close texts share one (prefix filter).
 
-Acceptance is sequential by definition: a row is refused if it repeats a row *accepted* before it. The batch's own conflicts
-are therefore decided in rounds, in each of which every row accepted is first among its undecided neighbours.
+Which units come first in that order may change at any time. A unit has a level: 0 until it is in LIST texts of a batch or of its list in the
+index, then one more for every GROWTH-fold; units of a higher level come later. Units only rise. When some do, the sets
+that are listed under them get new prefixes, and what was listed under a former level is never met again (entries and lookups must agree in
+the level), so a template that appears in later batches soon leads no prefix. Lists are thinned when tables are compacted.
+
+Acceptance is sequential by definition: a row is refused if it repeats a row *accepted* before it. The batch's own conflicts are decided in
+order in one task as long as they are few enough for it; more of them first in rounds, in each of which every row accepted
+is first among its undecided neighbours, and then range by range.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Written, materialise, shared_dir, write_out
+from ..session import Written, shared_dir, write_out
 from .shingles import Closeness, prefix_sets, prefixes, shingled
 
+#: A unit in fewer texts has level 0; of every GROWTH times as many, one more.
+LIST, GROWTH = 16, 4
+#: Lists of this level (16 384 texts or more) are joined by a shuffle, in which hot keys are split.
+HOT = 6
+#: After so many appends a table is rewritten into the one of the next tier.
+FAN = 8
+
+
+def level(count: Column) -> Column:
+    return F.when(count < LIST, 0).otherwise(F.floor(F.log(count / LIST) / math.log(GROWTH) + 1e-9) + 1).cast("int")
+
+
+class Scratch:
+    """Tables written while a batch is decided."""
+
+    def __init__(self) -> None:
+        self.written: list[Written] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(write_out(df, name))
+        return self.written[-1].df
+
+    def drop(self) -> None:
+        for w in self.written:
+            w.drop()
+
 
 @dataclass
 class AcceptedIndex:
-    """The accepted rows' identities, contents and units, each a list of tables bucketed into `buckets` by its hash; and the
-    unit frequencies of the first batch, which fix one order of units for good (unknown units count as rarest)."""
+    """The accepted rows' identities, contents, units and sets, and the units' levels: tables bucketed into `buckets` by their hash.
+
+    Each kind has one table a tier; a batch appends one file a bucket to the lowest, and FAN appends are rewritten as one of the next, so
+    a kind has a few tables however many batches there were."""
 
     spark: SparkSession
     threshold: float = 0.8
@@ -34,70 +71,190 @@ class AcceptedIndex:
     least_words: int = 8
     buckets: int | None = None
     name: str = field(default_factory=lambda: f"accepted_{uuid.uuid4().hex[:10]}")
-    parts: dict[str, list[str]] = field(default_factory=lambda: {"identities": [], "contents": [], "units": [], "sets": [], "frequencies": []})
-
+    tables: dict[str, list[dict]] = field(default_factory=dict)
     folder: str = ""
 
     SCHEMAS = {
         "identities": ("h", "h string, kept bigint"),
         "contents": ("digest", "digest string, kept bigint"),
-        "units": ("gram", "gram bigint, kept bigint, kn int, kpos int"),
+        "units": ("gram", "gram bigint, klvl int, kept bigint, kn int, kpos int"),
         "sets": ("kept", "kept bigint, kgrams array<bigint>"),
-        "frequencies": ("gram", "gram bigint, df bigint"),
+        "levels": ("gram", "gram bigint, lvl int"),
     }
 
     def __post_init__(self) -> None:
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = self.folder or f"{shared_dir(self.spark)}/verbatrix"
+        self.tables = {kind: self.tables.get(kind, []) for kind in self.SCHEMAS}
+        self.close = Closeness(self.threshold)
+        # with it, Spark 4.1 takes a union of bucketed tables for one that is bucketed, and a group comes out once a table
+        self.spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def manifest(self) -> dict:
         """What another session needs to go on with this index (plain data); its files stay in `folder`."""
-        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "parts", "folder")}
+        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "tables", "folder")}
 
     @classmethod
     def attach(cls, spark: SparkSession, manifest: dict) -> "AcceptedIndex":
         """The index of a manifest: its tables are declared over the files that are there."""
-        index = cls(spark, **{**manifest, "parts": {k: list(v) for k, v in manifest["parts"].items()}})
-        for kind, tables in index.parts.items():
+        index = cls(spark, **{**manifest, "tables": {k: [dict(t) for t in v] for k, v in manifest["tables"].items()}})
+        for kind, tables in index.tables.items():
             key, schema = cls.SCHEMAS[kind]
             for t in tables:
-                spark.sql(f"CREATE TABLE IF NOT EXISTS {t} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{index.folder}/{t}'")
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {t['name']} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {index.buckets} BUCKETS LOCATION '{index.path(t)}'")
         return index
 
-    def append(self, kind: str, rows: DataFrame) -> None:
-        """Write rows as one more bucketed table of this kind; one file a bucket."""
-        key = self.SCHEMAS[kind][0]
-        table = f"{self.name}_{kind}_{len(self.parts[kind])}"
-        path = f"{self.folder}/{table}"
-        rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
-        self.parts[kind].append(table)
+    def path(self, table: dict) -> str:
+        return f"{self.folder}/{table['name']}"
 
-    def joined(self, kind: str, rows: DataFrame, columns: list[str]) -> DataFrame:
-        """rows joined with all of the index' tables of this kind on its hash, each bucket for itself."""
+    def append(self, kind: str, rows: DataFrame, tier: int = 0) -> None:
+        """Write rows into the table of this kind and tier; one file a bucket."""
+        key = self.SCHEMAS[kind][0]
+        table = next((t for t in self.tables[kind] if t["tier"] == tier), None)
+        if table is None:
+            table = {"name": f"{self.name}_{kind}_{uuid.uuid4().hex[:8]}", "tier": tier, "appends": 0}
+            self.tables[kind].append(table)
+        rows.repartition(self.buckets, key).write.bucketBy(self.buckets, key).sortBy(key).option("path", self.path(table)).format("parquet").mode("append").saveAsTable(table["name"])
+        table["appends"] += 1
+
+    def remove(self, kind: str, table: dict) -> None:
+        self.tables[kind].remove(table)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table['name']}")
+        Written(self.spark, self.path(table)).drop()
+
+    def files(self, kind: str, tables: list[dict] | None = None) -> DataFrame:
+        """The rows of a kind's tables as plain files, without their buckets."""
+        schema = self.SCHEMAS[kind][1]
+        paths = [self.path(t) for t in (self.tables[kind] if tables is None else tables)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def levels(self) -> DataFrame:
+        return self.spark.table(self.tables["levels"][0]["name"]) if self.tables["levels"] else self.spark.createDataFrame([], self.SCHEMAS["levels"][1])
+
+    def joined(self, kind: str, rows: DataFrame, columns: list[str], within: dict[str, DataFrame] | None = None) -> DataFrame:
+        """rows joined with all of the index' tables of this kind on its hash, each bucket for itself; or with other rows of the kind."""
         key, schema = self.SCHEMAS[kind]
-        out = [rows.join(self.spark.table(t), key).select(*columns) for t in self.parts[kind]]
-        if not out:
-            out = [rows.join(self.spark.createDataFrame([], schema), key).select(*columns)]
+        others = [within[kind]] if within is not None else [self.spark.table(t["name"]) for t in self.tables[kind]] or [self.spark.createDataFrame([], schema)]
+        out = [rows.join(o, key).select(*columns) for o in others]
         df = out[0]
         for o in out[1:]:
             df = df.unionByName(o)
         return df
 
+    def prefixes_of(self, sets: DataFrame, key: str) -> DataFrame:
+        """(gram, lvl, key, n, pos): the units under which sets (key, grams) are listed, in the order of now."""
+        ordered = prefix_sets(sets, key, self.levels().withColumnRenamed("lvl", "df"), self.close, shared_only=False)
+        return prefixes(ordered, key, self.close, []).withColumnRenamed("df", "lvl")
+
+    def raise_units(self, rose: DataFrame) -> None:
+        """Give units (gram, was, lvl) their new level; the sets listed under them are listed anew."""
+        scratch = Scratch()
+        rose = scratch.keep(rose, "rose")
+        if not rose.isEmpty():
+            old = list(self.tables["levels"])
+            now = self.files("levels").join(rose.select("gram"), "gram", "left_anti").unionByName(rose.select("gram", "lvl"))
+            now = scratch.keep(now, "levels")
+            for t in old:
+                self.remove("levels", t)
+            self.append("levels", now)
+            if self.tables["units"]:
+                listed = self.joined("units", rose.select("gram", "was"), ["kept", "klvl", "was"]).filter("klvl = was").select("kept").distinct()
+                sets = scratch.keep(self.joined("sets", listed, ["kept", "kgrams"]).toDF("kept", "grams"), "listed")
+                if not sets.isEmpty():
+                    self.append("units", self.prefixes_of(sets, "kept").select("gram", F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
+        scratch.drop()
+
+    def compact(self) -> None:
+        """Rewrite tables of FAN appends into the next tier; units of former levels are left out, and of a set's entries under a unit the last stays."""
+        for kind in self.SCHEMAS:
+            while kind != "levels" and (full := next((t for t in self.tables[kind] if t["appends"] >= FAN), None)):
+                rows = self.files(kind, [full])
+                if kind == "units":
+                    rows = rows.groupBy("gram", "klvl", "kept", "kn").agg(F.min("kpos").alias("kpos")).join(self.files("levels"), "gram", "left").filter("klvl = coalesce(lvl, 0)").select("gram", "klvl", "kept", "kn", "kpos")
+                self.append(kind, rows, full["tier"] + 1)
+                self.remove(kind, full)
+
+    def longest_list(self) -> int:
+        """The number of sets in the longest list that lookups can meet."""
+        now = self.files("units").join(self.files("levels"), "gram", "left").filter("klvl = coalesce(lvl, 0)")
+        return now.select("gram", "kept").distinct().groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+
     def drop(self) -> None:
         """Delete the index' tables and files."""
-        for tables in self.parts.values():
-            for t in tables:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-                Written(self.spark, f"{self.folder}/{t}").drop()
-            tables.clear()
-
-
-def _least(*columns: str) -> Column:
-    """The smallest of the columns that aren't null, else null."""
-    return F.least(*columns)
+        for kind, tables in self.tables.items():
+            for t in list(tables):
+                self.remove(kind, t)
 
 
-def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text", pairs_per_entry: int = 100) -> DataFrame:
+@dataclass
+class _Batch:
+    """A batch's classes of equal texts (digest, cid, grams) and the units they are listed under (gram, lvl, cid, n, pos)."""
+
+    index: AcceptedIndex
+    classes: DataFrame
+    units: DataFrame
+    pairs_per_entry: int
+    task_rows: int
+    scratch: Scratch
+
+    def possible(self, a: str, i: str, b: str, j: str) -> Column:
+        """Whether sets of sizes a and b whose first common unit is at i and j can be close."""
+        return F.expr(self.index.close.close(f"least({a} - {i}, {b} - {j})", a, b))
+
+    def verified(self, x: str, y: str) -> Column:
+        return F.expr(self.index.close.close(f"size(array_intersect({x}, {y}))", f"size({x})", f"size({y})"))
+
+    def entries(self, taken: DataFrame) -> dict[str, DataFrame]:
+        """What accepted nodes (id, h, cid) add to the index."""
+        texts = taken.filter("cid is not null").select("cid", F.col("id").alias("kept"))
+        return {
+            "identities": taken.filter("h is not null").select("h", F.col("id").alias("kept")),
+            "contents": texts.join(self.classes.select("digest", "cid"), "cid").select("digest", "kept"),
+            "units": texts.join(self.units, "cid").select("gram", F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")),
+            "sets": texts.join(self.classes.select("cid", "grams"), "cid").select("kept", F.col("grams").alias("kgrams")),
+        }
+
+    def looked_up(self, nodes: DataFrame, within: dict[str, DataFrame] | None = None) -> DataFrame:
+        """nodes (id, h, digest, cid) with kept: the accepted row of the smallest key that each repeats, in the index or within other entries."""
+        index, sets = self.index, self.classes.select("cid", "grams")
+        units = self.units if within is None else self.units.join(nodes.select("cid").distinct(), "cid", "left_semi")
+        columns = ["cid", "lvl", "n", "pos", "kept", "klvl", "kn", "kpos"]
+        met = index.joined("units", units.filter(F.col("lvl") < HOT) if within is None else units, columns, within)
+        if within is None and not units.filter(F.col("lvl") >= HOT).isEmpty():
+            met = met.unionByName(units.filter(F.col("lvl") >= HOT).join(index.files("units").filter(F.col("klvl") >= HOT), "gram").select(*columns))
+        # sizes and positions of a shared unit first; what they leave is verified once a pair
+        near = met.filter(F.col("lvl") == F.col("klvl")).filter(self.possible("n", "pos", "kn", "kpos")).select("cid", "kept").distinct()
+        near = index.joined("sets", near.join(sets, "cid"), ["cid", "kept", "grams", "kgrams"], within).filter(self.verified("grams", "kgrams")).select("cid", "kept")
+        same = index.joined("contents", self.classes.select("digest", "cid"), ["cid", "kept"], within)
+        by_text = near.unionByName(same).groupBy("cid").agg(F.min("kept").alias("kept_t"))
+        by_h = index.joined("identities", nodes.filter("h is not null").select("h", "id"), ["id", "kept"], within).groupBy("id").agg(F.min("kept").alias("kept_h"))
+        known = nodes.select("id", "h", "digest", "cid").join(by_text, "cid", "left").join(by_h, "id", "left")
+        return self.scratch.keep(known.select("id", "h", "digest", "cid", F.least("kept_t", "kept_h").alias("kept")), "known")
+
+    def decided(self, nodes: DataFrame) -> DataFrame:
+        """(id, h, cid, kept) of nodes that repeat nothing accepted before them but, maybe, each other; kept is null for the accepted."""
+        free = self.scratch.keep(self.units.join(nodes.filter("cid is not null").select("cid").distinct(), "cid", "left_semi"), "free")
+        load = free.groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("entries")).first()
+        if load["pairs"] > self.pairs_per_entry * load["entries"] + 1_000_000 * (self.pairs_per_entry > 0):
+            middle = nodes.approxQuantile("id", [0.5], 0.05)[0]
+            first, rest = nodes.filter(F.col("id") <= middle), nodes.filter(F.col("id") > middle)
+            if not first.isEmpty() and not rest.isEmpty():
+                done = self.decided(first)
+                known = self.looked_up(rest, self.entries(done.filter("kept is null")))
+                return done.unionByName(known.filter("kept is not null").select("id", "h", "cid", "kept")).unionByName(self.decided(known.filter("kept is null").drop("kept")))
+        sets = self.classes.select("cid", "grams")
+        left, right = free.alias("x"), free.alias("y")
+        pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & self.possible("x.n", "x.pos", "y.n", "y.pos"))
+        pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+        pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").filter(self.verified("ga", "gb")).select("a", "b")
+        both = F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("near")), F.struct(F.col("b").alias("cid"), F.col("a").alias("near")))
+        around = self.scratch.keep(pairs.select(F.explode(both).alias("p")).select("p.cid", "p.near"), "around")
+        nodes = nodes.select("id", "h", "cid")
+        few = nodes.limit(self.task_rows + 1).count() <= self.task_rows
+        return self.scratch.keep(in_one_task(nodes, around) if few else in_rounds(nodes, around, self.task_rows, self.scratch), "decided")
+
+
+def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text", pairs_per_entry: int = 100, task_rows: int = 200_000) -> DataFrame:
     """(key, kept): for every row of the batch the accepted row of the smallest key that it repeats, null if it is accepted itself;
     the accepted rows are appended to the index.
 
@@ -108,117 +265,131 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
 
     A group of close texts that a third of the batch belongs to isn't compared all with all: where the lists of shared units hold more than
     pairs_per_entry pairs an entry (and a million), the batch is halved in order, so that the first half's few accepted rows refuse most of
-    the second by the index. The frequencies are then those of the first part.
+    the second. Conflicts among up to task_rows rows are decided in one task, in order; more of them first in rounds. Both
+    bounds only choose a way: the result is the same.
 
     Plan: words and hashes once (written); rows with the same (h, words) collapse to one node by a pre-aggregated shuffle; the batch is
-    shuffled to the index' buckets, the index never is; rounds run over the nodes in conflict only. Nothing is collected.
+    shuffled to the index' buckets, the index never is (but its lists of HOT level). Nothing is collected.
     """
-    close = Closeness(index.threshold)
+    scratch = Scratch()
     src = batch.select(F.col(key).cast("bigint").alias("id"), F.col(h).alias("h"), F.col(text).alias("text"))
-    rows = materialise(shingled(src, ["id", "h"], "text", index.size, index.least_words), "batch")
-    named = rows.filter("h is not null or digest is not null")
-    nodes = named.groupBy("h", "digest").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
-    nodes = materialise(nodes, "nodes")
-    classes = materialise(nodes.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("cid"), F.first("grams").alias("grams")), "classes")
-
-    # one order of units for all batches: their frequencies in the first
-    if not index.parts["frequencies"]:
-        index.append("frequencies", classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1"))
-    ordered = prefix_sets(classes, "cid", index.spark.table(index.parts["frequencies"][0]), close, shared_only=False)
-    units = materialise(prefixes(ordered, "cid", close, []).drop("df"), "units")
-    sets = classes.select("cid", "grams")
-
-    # sizes and positions of a shared unit first; what they leave is verified once a pair
-    possible = lambda a, i, b, j: F.expr(close.close(f"least({a} - {i}, {b} - {j})", a, b))
-    verified = lambda x, y: F.expr(close.close(f"size(array_intersect({x}, {y}))", f"size({x})", f"size({y})"))
-    near = index.joined("units", units, ["cid", "n", "pos", "kept", "kn", "kpos"]).filter(possible("n", "pos", "kn", "kpos")).select("cid", "kept").distinct()
-    near = index.joined("sets", near.join(sets, "cid"), ["cid", "kept", "grams", "kgrams"]).filter(verified("grams", "kgrams")).select("cid", "kept")
-    same = index.joined("contents", classes.select("digest", "cid"), ["cid", "kept"])
-    by_text = near.unionByName(same).groupBy("cid").agg(F.min("kept").alias("kept_t"))
-    by_h = index.joined("identities", nodes.filter("h is not null").select("h", "id"), ["id", "kept"]).groupBy("id").agg(F.min("kept").alias("kept_h"))
-    known = nodes.select("id", "h", "digest").join(classes.select("digest", "cid"), "digest", "left").join(by_text, "cid", "left").join(by_h, "id", "left")
-    known = materialise(known.select("id", "h", "digest", "cid", _least("kept_t", "kept_h").alias("kept")), "known")
-
-    # close classes of the batch, of those the index leaves open
-    still = known.filter("kept is null and cid is not null").select("cid").distinct()
-    free = materialise(units.join(still, "cid", "left_semi"), "free")
-    load = free.groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("entries")).first()
-    if load["pairs"] > pairs_per_entry * load["entries"] + 1_000_000 * (pairs_per_entry > 0):
-        middle = known.filter("kept is null").approxQuantile("id", [0.5], 0.05)[0]
-        first, rest = src.filter(F.col("id") <= middle), src.filter(F.col("id") > middle)
-        if not first.isEmpty() and not rest.isEmpty():
-            back = lambda df: df.toDF(key, h, text)
-            done = admit(index, back(first), key, h, text, pairs_per_entry)
-            return done.unionByName(admit(index, back(rest), key, h, text, pairs_per_entry))
-    left, right = free.alias("x"), free.alias("y")
-    pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & possible("x.n", "x.pos", "y.n", "y.pos"))
-    pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").filter(verified("ga", "gb")).select("a", "b")
-    around = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("near")), F.struct(F.col("b").alias("cid"), F.col("a").alias("near")))).alias("p")).select("p.cid", "p.near"), "around")
-
-    accepted = materialise(_first_come(known.filter("kept is null").select("id", "h", "cid"), around), "accepted")
-
-    # the smallest accepted neighbour of every refused node
-    a_h = accepted.filter("h is not null").select("h", F.col("id").alias("in_h"))
-    a_c = accepted.filter("cid is not null").select("cid", F.col("id").alias("in_c"))
-    a_n = around.join(a_c.withColumnRenamed("cid", "near"), "near").groupBy("cid").agg(F.min("in_c").alias("in_n"))
-    node = known.join(accepted.select("id", F.lit(1).alias("own")), "id", "left").join(a_h, "h", "left").join(a_c, "cid", "left").join(a_n, "cid", "left")
-    node = node.select(
-        "h", "digest", F.col("id").alias("first"), (F.col("own") == 1).alias("own"), F.when(F.col("own") == 1, F.col("id")).otherwise(_least("kept", "in_h", "in_c", "in_n")).alias("kept")
-    )
-    node = materialise(node, "decided")
-    match = rows["h"].eqNullSafe(node["h"]) & rows["digest"].eqNullSafe(node["digest"])
-    out = rows.select("id", "h", "digest").join(node, match, "left").select(
-        F.col("id").alias(key), F.when(~F.coalesce(F.col("own") & (F.col("id") == F.col("first")), F.lit(False)), F.col("kept")).alias("kept")
-    )
-
-    taken = accepted.select(F.col("id").alias("kept"), "h", "cid")
-    texts = taken.filter("cid is not null").select("cid", "kept")
-    made = {
-        "identities": taken.filter("h is not null").select("h", "kept"),
-        "contents": texts.join(classes.select("digest", "cid"), "cid").select("digest", "kept"),
-        "units": texts.join(units, "cid").select("gram", "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")),
-        "sets": texts.join(sets, "cid").select("kept", F.col("grams").alias("kgrams")),
-    }
-    with ThreadPoolExecutor(len(made)) as at_once:
-        list(at_once.map(lambda kind: index.append(kind, made[kind]), made))
+    rows = scratch.keep(shingled(src, ["id", "h"], "text", index.size, index.least_words), "batch")
+    classes = scratch.keep(rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("cid"), F.first("grams").alias("grams")), "classes")
+    nodes = rows.filter("h is not null or digest is not null").groupBy("h", "digest").agg(F.min("id").alias("id"))
+    nodes = scratch.keep(nodes.join(classes.select("digest", "cid"), "digest", "left").select("id", "h", "digest", "cid"), "nodes")
+
+    often = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
+    index.raise_units(often.join(index.levels(), "gram", "left").select("gram", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+    units = scratch.keep(index.prefixes_of(classes.select("cid", "grams"), "cid"), "units")
+
+    it = _Batch(index, classes, units, pairs_per_entry, task_rows, scratch)
+    known = it.looked_up(nodes)
+    made = it.decided(known.filter("kept is null").drop("kept"))
+    decided = known.filter("kept is not null").select("id", "kept").unionByName(made.select("id", "kept"))
+    # a row that isn't the first of its node repeats that, if it was accepted
+    node = nodes.join(decided, "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")
+    match = rows["h"].eqNullSafe(node["nh"]) & rows["digest"].eqNullSafe(node["nd"])
+    out = rows.select("id", "h", "digest").join(node, match, "left").select(F.col("id").alias(key), F.coalesce("kept", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("kept"))
+
+    taken = scratch.keep(made.filter("kept is null").drop("kept"), "taken")
+    new = it.entries(taken)
+    with ThreadPoolExecutor(len(new) + 1) as at_once:
+        written = at_once.submit(write_out, out, "admitted")
+        list(at_once.map(lambda kind: index.append(kind, new[kind]), new))
+        out = written.result().df
+    touched = new["units"].select("gram", F.col("klvl").alias("lvl")).distinct()
+    lists = index.joined("units", touched, ["gram", "lvl", "klvl"]).filter("lvl = klvl").groupBy("gram", "lvl").agg(F.count("*").alias("c"))
+    index.raise_units(lists.select("gram", F.col("lvl").alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+    index.compact()
+    scratch.drop()
     return out
 
 
-def _first_come(nodes: DataFrame, around: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id, h, cid) of the nodes accepted when taken in order of id: those without an accepted one before them that shares h, cid, or is
-    of a class `around` theirs. Rounds end when all are decided; each accepts at least the first undecided node."""
+def in_one_task(nodes: DataFrame, around: DataFrame) -> DataFrame:
+    """(id, h, cid, kept) of nodes taken in order of id: kept is the smallest accepted node before it that shares its h, its cid, or is of a class
+    `around` (cid, near) its own; null if there is none, and it is accepted. For a bounded number of nodes: one task takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_h: dict[str, int] = {}
+        of_c: dict[int, int] = {}
+        now = None
+        found: list[int] = []
+        out: list[tuple] = []
+
+        def ended() -> None:
+            i, h, c = now
+            kept = min(found + [x for x in (of_h.get(h), of_c.get(c)) if x is not None], default=None)
+            if kept is None:
+                if h is not None:
+                    of_h[h] = i
+                if c is not None:
+                    of_c[c] = i
+            out.append((i, h, c, kept))
+
+        def batch() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["id", "h", "cid", "kept"])
+            out.clear()
+            return got
+
+        for b in batches:
+            for i, h, c, near in zip(*(b.column(x).to_pylist() for x in ("id", "h", "cid", "near"))):
+                if now is None or i != now[0]:
+                    if now is not None:
+                        ended()
+                    now = i, h, c
+                    found.clear()
+                if near in of_c:
+                    found.append(of_c[near])
+            if out:
+                yield batch()
+        if now is not None:
+            ended()
+            yield batch()
+
+    rows = nodes.join(around, "cid", "left").select("id", "h", "cid", "near")
+    return rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "id bigint, h string, cid bigint, kept bigint")
+
+
+def in_rounds(nodes: DataFrame, around: DataFrame, task_rows: int, scratch: Scratch) -> DataFrame:
+    """The same for any number of nodes. Nodes that share nothing are accepted at once. Rounds accept every node that is the
+    first undecided one around; while they decide little, the first task_rows nodes are taken in order in one task instead, so it ends after
+    at most nodes / task_rows such steps."""
     no = F.lit(2**63 - 1)
-    # nodes that share nothing need no rounds
     h_many = nodes.filter("h is not null").groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h", F.lit(1).alias("m1"))
     c_many = nodes.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("k")).filter("k > 1").select("cid", F.lit(1).alias("m2"))
     c_near = around.select("cid").distinct().withColumn("m3", F.lit(1))
-    marked = nodes.join(h_many, "h", "left").join(c_many, "cid", "left").join(c_near, "cid", "left").select("id", "h", "cid", F.coalesce("m1", "m2", "m3").isNotNull().alias("open"))
-    state = write_out(marked, "rounds")
-    done = [state.df.filter("not open").select("id", "h", "cid")]
-    u, undecided = state.df.filter("open").select("id", "h", "cid"), None
-    for _ in range(max_rounds):
-        if u.isEmpty():
-            break
-        m_h = u.filter("h is not null").groupBy("h").agg(F.min("id").alias("m_h"))
-        m_c = u.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("m_c"))
-        m_n = around.join(m_c.select(F.col("cid").alias("near"), F.col("m_c").alias("m")), "near").groupBy("cid").agg(F.min("m").alias("m_n"))
-        with_min = u.join(m_h, "h", "left").join(m_c, "cid", "left").join(m_n, "cid", "left")
-        step = write_out(with_min.select("id", "h", "cid", (F.col("id") <= F.least(F.coalesce("m_h", no), F.coalesce("m_c", no), F.coalesce("m_n", no))).alias("in")), "rounds")
-        won = step.df.filter("in").select("id", "h", "cid")
-        done.append(won)
+    marked = nodes.join(h_many, "h", "left").join(c_many, "cid", "left").join(c_near, "cid", "left")
+    state = scratch.keep(marked.select("id", "h", "cid", F.coalesce("m1", "m2", "m3").isNotNull().alias("open")), "rounds")
+    taken = [state.filter("not open").select("id", "h", "cid")]
+    u, slow = state.filter("open").select("id", "h", "cid"), False
+    n = u.count()
+    while n:
+        if slow or n <= task_rows:
+            last = u.agg(F.max("id")).first()[0] if n <= task_rows else int(u.approxQuantile("id", [task_rows / n], min(0.05, task_rows / n / 4))[0])
+            done = scratch.keep(in_one_task(u.filter(F.col("id") <= last), around), "range")
+            won, rest = done.filter("kept is null").select("id", "h", "cid"), u.filter(F.col("id") > last)
+        else:
+            m_h = u.filter("h is not null").groupBy("h").agg(F.min("id").alias("m_h"))
+            m_c = u.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("m_c"))
+            m_n = around.join(m_c.select(F.col("cid").alias("near"), F.col("m_c").alias("m")), "near").groupBy("cid").agg(F.min("m").alias("m_n"))
+            first = u.join(m_h, "h", "left").join(m_c, "cid", "left").join(m_n, "cid", "left")
+            step = scratch.keep(first.select("id", "h", "cid", (F.col("id") <= F.least(F.coalesce("m_h", no), F.coalesce("m_c", no), F.coalesce("m_n", no))).alias("in")), "rounds")
+            won, rest = step.filter("in").select("id", "h", "cid"), step.filter("not in").select("id", "h", "cid")
+        taken.append(won)
         # what repeats a winner is refused and leaves
-        w_h = won.filter("h is not null").select("h", F.lit(1).alias("b1"))
-        w_c = won.filter("cid is not null").select("cid", F.lit(1).alias("b2"))
+        w_h = won.filter("h is not null").select("h", F.lit(1).alias("b1")).distinct()
+        w_c = won.filter("cid is not null").select("cid", F.lit(1).alias("b2")).distinct()
         w_n = around.join(won.filter("cid is not null").select(F.col("cid").alias("near")), "near", "left_semi").select("cid").distinct().withColumn("b3", F.lit(1))
-        rest = step.df.filter("not in").join(w_h, "h", "left").join(w_c, "cid", "left").join(w_n, "cid", "left").filter("b1 is null and b2 is null and b3 is null")
-        after = write_out(rest.select("id", "h", "cid"), "undecided")
-        if undecided is not None:
-            undecided.drop()
-        undecided, u = after, after.df
-    else:
-        raise RuntimeError("first come: no end within max_rounds")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        u = scratch.keep(rest.join(w_h, "h", "left").join(w_c, "cid", "left").join(w_n, "cid", "left").filter("b1 is null and b2 is null and b3 is null").select("id", "h", "cid"), "undecided")
+        before, n = n, u.count()
+        slow = n > 0.8 * before
+    accepted = taken[0]
+    for t in taken[1:]:
+        accepted = accepted.unionByName(t)
+    accepted = scratch.keep(accepted, "accepted")
+    # the smallest accepted neighbour of every refused node
+    a_h = accepted.filter("h is not null").groupBy("h").agg(F.min("id").alias("in_h"))
+    a_c = accepted.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("in_c"))
+    a_n = around.join(a_c.select(F.col("cid").alias("near"), "in_c"), "near").groupBy("cid").agg(F.min("in_c").alias("in_n"))
+    node = nodes.join(accepted.select("id", F.lit(True).alias("own")), "id", "left").join(a_h, "h", "left").join(a_c, "cid", "left").join(a_n, "cid", "left")
+    return node.select("id", "h", "cid", F.when(F.col("own").isNull(), F.least("in_h", "in_c", "in_n")).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_out
 from .batches import AcceptedIndex, admit
 from .encode import encode_corpus
 from .knn import nearest
@@ -25,11 +26,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history makes the index; what came since is checked against it and itself, in one go (the order is that of row_id)."""
-    rows = _table(spark, sf_dir, "entry_batches")
+    """The batches are admitted one by one, as they arrive: the history makes the index, each later one is checked against it and appended."""
+    arrived = write_out(_table(spark, sf_dir, "entry_batches").select("row_id", "h", "text", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no")), "arrived", by=["batch_no"])
     index = AcceptedIndex(spark, threshold=0.6, size=3)
-    decided = admit(index, rows.filter("batch_no = 0")).unionByName(admit(index, rows.filter("batch_no > 0 or batch_no is null")))
+    decided = None
+    for (no,) in arrived.df.select("batch_no").distinct().orderBy("batch_no").collect():
+        got = admit(index, arrived.df.filter(F.col("batch_no") == no))
+        decided = got if decided is None else decided.unionByName(got)
     index.drop()  # what was decided is written
+    arrived.drop()
+    if decided is None:
+        return spark.createDataFrame([], "kept_id bigint, dup_id bigint")
     return decided.filter("kept is not null").select(F.col("kept").alias("kept_id"), F.col("row_id").alias("dup_id"))
 
 
