@@ -68,11 +68,11 @@ class Written:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_out(df: DataFrame, name: str = "t") -> Written:
-    """Write df as parquet into the shared folder."""
+def write_out(df: DataFrame, name: str = "t", by: list[str] | None = None) -> Written:
+    """Write df as parquet into the shared folder, in subfolders by the columns `by`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/verbatrix/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return Written(spark, path)
 
