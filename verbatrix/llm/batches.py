@@ -23,10 +23,12 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import Written, shared_dir, write_out
 from .shingles import Closeness, prefix_sets, prefixes, shingled
@@ -35,8 +37,8 @@ from .shingles import Closeness, prefix_sets, prefixes, shingled
 LIST, GROWTH = 16, 4
 #: Lists of this level (16 384 texts or more) are joined by a shuffle, in which hot keys are split.
 HOT = 6
-#: After so many appends a table is rewritten into the one of the next tier.
-FAN = 8
+#: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
+FAN, RENEW = 8, 4
 
 
 def level(count: Column) -> Column:
@@ -73,6 +75,8 @@ class AcceptedIndex:
     name: str = field(default_factory=lambda: f"accepted_{uuid.uuid4().hex[:10]}")
     tables: dict[str, list[dict]] = field(default_factory=dict)
     folder: str = ""
+    batches: int = 0
+    highest: int = 0
 
     SCHEMAS = {
         "identities": ("h", "h string, kept bigint"),
@@ -92,7 +96,7 @@ class AcceptedIndex:
 
     def manifest(self) -> dict:
         """What another session needs to go on with this index (plain data); its files stay in `folder`."""
-        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "tables", "folder")}
+        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "tables", "folder", "batches", "highest")}
 
     @classmethod
     def attach(cls, spark: SparkSession, manifest: dict) -> "AcceptedIndex":
@@ -150,7 +154,9 @@ class AcceptedIndex:
         """Give units (gram, was, lvl) their new level; the sets listed under them are listed anew."""
         scratch = Scratch()
         rose = scratch.keep(rose, "rose")
-        if not rose.isEmpty():
+        top = rose.agg(F.max("lvl")).first()[0]
+        if top is not None:
+            self.highest = max(self.highest, top)
             old = list(self.tables["levels"])
             now = self.files("levels").join(rose.select("gram"), "gram", "left_anti").unionByName(rose.select("gram", "lvl"))
             now = scratch.keep(now, "levels")
@@ -164,6 +170,14 @@ class AcceptedIndex:
                     self.append("units", self.prefixes_of(sets, "kept").select("gram", F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
         scratch.drop()
 
+    def renew(self) -> None:
+        """Raise the units whose lists have become long. Each table counts its own lists, bucket by bucket; only long ones are put together."""
+        tables = self.tables["units"]
+        long = [self.spark.table(t["name"]).groupBy("gram", "klvl").agg(F.count("*").alias("c")).filter(F.col("c") * len(tables) >= LIST) for t in tables]
+        if long:
+            lists = reduce(DataFrame.unionByName, long).groupBy("gram", "klvl").agg(F.sum("c").alias("c")).join(self.files("levels"), "gram", "left")
+            self.raise_units(lists.filter("klvl = coalesce(lvl, 0)").select("gram", F.col("klvl").alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+
     def compact(self) -> None:
         """Rewrite tables of FAN appends into the next tier; units of former levels are left out, and of a set's entries under a unit the last stays."""
         for kind in self.SCHEMAS:
@@ -188,11 +202,12 @@ class AcceptedIndex:
 
 @dataclass
 class _Batch:
-    """A batch's classes of equal texts (digest, cid, grams) and the units they are listed under (gram, lvl, cid, n, pos)."""
+    """A batch's classes of equal texts (digest, cid, grams), the units they are listed under (gram, lvl, cid, n, pos), and whether these have few pairs."""
 
     index: AcceptedIndex
     classes: DataFrame
     units: DataFrame
+    few_pairs: bool
     pairs_per_entry: int
     task_rows: int
     scratch: Scratch
@@ -219,8 +234,9 @@ class _Batch:
         index, sets = self.index, self.classes.select("cid", "grams")
         units = self.units if within is None else self.units.join(nodes.select("cid").distinct(), "cid", "left_semi")
         columns = ["cid", "lvl", "n", "pos", "kept", "klvl", "kn", "kpos"]
-        met = index.joined("units", units.filter(F.col("lvl") < HOT) if within is None else units, columns, within)
-        if within is None and not units.filter(F.col("lvl") >= HOT).isEmpty():
+        hot = within is None and index.highest >= HOT
+        met = index.joined("units", units.filter(F.col("lvl") < HOT) if hot else units, columns, within)
+        if hot:
             met = met.unionByName(units.filter(F.col("lvl") >= HOT).join(index.files("units").filter(F.col("klvl") >= HOT), "gram").select(*columns))
         # sizes and positions of a shared unit first; what they leave is verified once a pair
         near = met.filter(F.col("lvl") == F.col("klvl")).filter(self.possible("n", "pos", "kn", "kpos")).select("cid", "kept").distinct()
@@ -233,15 +249,16 @@ class _Batch:
 
     def decided(self, nodes: DataFrame) -> DataFrame:
         """(id, h, cid, kept) of nodes that repeat nothing accepted before them but, maybe, each other; kept is null for the accepted."""
-        free = self.scratch.keep(self.units.join(nodes.filter("cid is not null").select("cid").distinct(), "cid", "left_semi"), "free")
-        load = free.groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("c"), F.lit(0)).alias("entries")).first()
-        if load["pairs"] > self.pairs_per_entry * load["entries"] + 1_000_000 * (self.pairs_per_entry > 0):
-            middle = nodes.approxQuantile("id", [0.5], 0.05)[0]
-            first, rest = nodes.filter(F.col("id") <= middle), nodes.filter(F.col("id") > middle)
-            if not first.isEmpty() and not rest.isEmpty():
-                done = self.decided(first)
-                known = self.looked_up(rest, self.entries(done.filter("kept is null")))
-                return done.unionByName(known.filter("kept is not null").select("id", "h", "cid", "kept")).unionByName(self.decided(known.filter("kept is null").drop("kept")))
+        free = self.units.join(nodes.filter("cid is not null").select("cid").distinct(), "cid", "left_semi")
+        if not self.few_pairs:
+            free = self.scratch.keep(free, "free")
+            if many_pairs(free, self.pairs_per_entry):
+                middle = nodes.approxQuantile("id", [0.5], 0.05)[0]
+                first, rest = nodes.filter(F.col("id") <= middle), nodes.filter(F.col("id") > middle)
+                if not first.isEmpty() and not rest.isEmpty():
+                    done = self.decided(first)
+                    known = self.looked_up(rest, self.entries(done.filter("kept is null")))
+                    return done.unionByName(known.filter("kept is not null").select("id", "h", "cid", "kept")).unionByName(self.decided(known.filter("kept is null").drop("kept")))
         sets = self.classes.select("cid", "grams")
         left, right = free.alias("x"), free.alias("y")
         pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & self.possible("x.n", "x.pos", "y.n", "y.pos"))
@@ -254,6 +271,12 @@ class _Batch:
         return self.scratch.keep(in_one_task(nodes, around) if few else in_rounds(nodes, around, self.task_rows, self.scratch), "decided")
 
 
+def many_pairs(units: DataFrame, pairs_per_entry: int) -> bool:
+    """Whether lists of units hold so many pairs that they had better not be compared all with all."""
+    load = units.groupBy("gram").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("entries")).first()
+    return (load["pairs"] or 0) > pairs_per_entry * (load["entries"] or 0) + 1_000_000 * (pairs_per_entry > 0)
+
+
 def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text", pairs_per_entry: int = 100, task_rows: int = 200_000) -> DataFrame:
     """(key, kept): for every row of the batch the accepted row of the smallest key that it repeats, null if it is accepted itself;
     the accepted rows are appended to the index.
@@ -274,15 +297,20 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     scratch = Scratch()
     src = batch.select(F.col(key).cast("bigint").alias("id"), F.col(h).alias("h"), F.col(text).alias("text"))
     rows = scratch.keep(shingled(src, ["id", "h"], "text", index.size, index.least_words), "batch")
-    classes = scratch.keep(rows.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("cid"), F.first("grams").alias("grams")), "classes")
-    nodes = rows.filter("h is not null or digest is not null").groupBy("h", "digest").agg(F.min("id").alias("id"))
-    nodes = scratch.keep(nodes.join(classes.select("digest", "cid"), "digest", "left").select("id", "h", "digest", "cid"), "nodes")
+    # one node a (h, words), known by its first row; the first node of equal words is their class and keeps their set
+    apart = F.coalesce("digest", F.md5("h"))
+    nodes = rows.filter("h is not null or digest is not null").groupBy("h", "digest").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
+    first = F.min("id").over(Window.partitionBy("digest", apart))
+    nodes = nodes.select("id", "h", "digest", F.when(F.col("digest").isNotNull(), first).alias("cid"), "grams").withColumn("grams", F.when(F.col("id") == F.col("cid"), F.col("grams")))
+    nodes = scratch.keep(nodes, "nodes")
+    classes = nodes.filter("id = cid").select("digest", "cid", "grams")
+    nodes = nodes.drop("grams")
 
     often = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
     index.raise_units(often.join(index.levels(), "gram", "left").select("gram", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
     units = scratch.keep(index.prefixes_of(classes.select("cid", "grams"), "cid"), "units")
 
-    it = _Batch(index, classes, units, pairs_per_entry, task_rows, scratch)
+    it = _Batch(index, classes, units, not many_pairs(units, pairs_per_entry), pairs_per_entry, task_rows, scratch)
     known = it.looked_up(nodes)
     made = it.decided(known.filter("kept is null").drop("kept"))
     decided = known.filter("kept is not null").select("id", "kept").unionByName(made.select("id", "kept"))
@@ -291,15 +319,14 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     match = rows["h"].eqNullSafe(node["nh"]) & rows["digest"].eqNullSafe(node["nd"])
     out = rows.select("id", "h", "digest").join(node, match, "left").select(F.col("id").alias(key), F.coalesce("kept", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("kept"))
 
-    taken = scratch.keep(made.filter("kept is null").drop("kept"), "taken")
-    new = it.entries(taken)
+    new = it.entries(made.filter("kept is null").drop("kept"))
     with ThreadPoolExecutor(len(new) + 1) as at_once:
         written = at_once.submit(write_out, out, "admitted")
         list(at_once.map(lambda kind: index.append(kind, new[kind]), new))
         out = written.result().df
-    touched = new["units"].select("gram", F.col("klvl").alias("lvl")).distinct()
-    lists = index.joined("units", touched, ["gram", "lvl", "klvl"]).filter("lvl = klvl").groupBy("gram", "lvl").agg(F.count("*").alias("c"))
-    index.raise_units(lists.select("gram", F.col("lvl").alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+    index.batches += 1
+    if index.batches % RENEW == 0:
+        index.renew()
     index.compact()
     scratch.drop()
     return out
