@@ -210,6 +210,7 @@ def test_new_template_in_later_batches(spark, words):
     assert max(longest[1:]) < 64 and longest[-1] < 2 * longest[2] + 16  # 540 texts bear the footer
     assert all(t["appends"] <= 8 for ts in index.tables.values() for t in ts) and {t["tier"] for t in index.tables["sets"]} == {0, 1}
     # a group over all tables of a kind is one group, though they are bucketed by its key
-    both = index.joined("units", spark.createDataFrame([(r[0],) for r in index.files("units").select("gram").distinct().collect()], "gram bigint"), ["gram", "kept"])
-    assert both.groupBy("gram").count().count() == both.select("gram").distinct().count() == index.files("units").select("gram").distinct().count()
+    own = {r[0] for r in index.files("entries").select("key").collect()}
+    both = index.joined("entries", spark.createDataFrame([(k,) for k in own], "key bigint"), ["key", "kept"])
+    assert both.groupBy("key").count().count() == len(own)
     index.drop()

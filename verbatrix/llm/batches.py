@@ -1,8 +1,8 @@
 """Deduplicating new batches against everything accepted before, without reading that again.
 
-What has been accepted is kept as an index of tables bucketed by hash: identities, content hashes (of the normalised words)
-and unit hashes. A batch is hashed, and bucket-local joins find full copies (content hash) and texts that share units; their
-coverage is verified exactly; what is accepted is appended. The units are the runs of words by which closeness is defined:
+What has been accepted is kept as an index of tables bucketed by hash: one of entries, by the hash of an identity, of a content (the normalised
+words) or of a unit, and one of sets. A batch is hashed, and bucket-local joins find full copies (content hash) and texts that share
+units; their coverage is verified exactly; what is accepted is appended. The units are the runs of words by which closeness is defined:
 hashes of whole paragraphs, as the method has them, would miss close texts, since an edit changes the paragraph's hash. Only some units
 of a text are indexed, enough that close texts share one (prefix filter).
 
@@ -37,6 +37,8 @@ from .shingles import Closeness, prefix_sets, prefixes, shingled
 LIST, GROWTH = 16, 4
 #: Lists of this level (16 384 texts or more) are joined by a shuffle, in which hot keys are split.
 HOT = 6
+#: The levels of entries that aren't units.
+IDENTITY, CONTENT = -2, -1
 #: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
 FAN, RENEW = 8, 4
 
@@ -62,7 +64,7 @@ class Scratch:
 
 @dataclass
 class AcceptedIndex:
-    """The accepted rows' identities, contents, units and sets, and the units' levels: tables bucketed into `buckets` by their hash.
+    """The accepted rows' entries and sets, and the units' levels: tables bucketed into `buckets` by their hash.
 
     Each kind has one table a tier; a batch appends one file a bucket to the lowest, and FAN appends are rewritten as one of the next, so
     a kind has a few tables however many batches there were."""
@@ -79,11 +81,9 @@ class AcceptedIndex:
     highest: int = 0
 
     SCHEMAS = {
-        "identities": ("h", "h string, kept bigint"),
-        "contents": ("digest", "digest string, kept bigint"),
-        "units": ("gram", "gram bigint, klvl int, kept bigint, kn int, kpos int"),
+        "entries": ("key", "key bigint, kname string, klvl int, kept bigint, kn int, kpos int"),
         "sets": ("kept", "kept bigint, kgrams array<bigint>"),
-        "levels": ("gram", "gram bigint, lvl int"),
+        "levels": ("key", "key bigint, lvl int"),
     }
 
     def __post_init__(self) -> None:
@@ -147,51 +147,56 @@ class AcceptedIndex:
 
     def prefixes_of(self, sets: DataFrame, key: str) -> DataFrame:
         """(gram, lvl, key, n, pos): the units under which sets (key, grams) are listed, in the order of now."""
-        ordered = prefix_sets(sets, key, self.levels().withColumnRenamed("lvl", "df"), self.close, shared_only=False)
+        ordered = prefix_sets(sets, key, self.levels().toDF("gram", "df"), self.close, shared_only=False)
         return prefixes(ordered, key, self.close, []).withColumnRenamed("df", "lvl")
 
     def raise_units(self, rose: DataFrame) -> None:
-        """Give units (gram, was, lvl) their new level; the sets listed under them are listed anew."""
+        """Give units (key, was, lvl) their new level; the sets listed under them are listed anew."""
         scratch = Scratch()
         rose = scratch.keep(rose, "rose")
         top = rose.agg(F.max("lvl")).first()[0]
         if top is not None:
             self.highest = max(self.highest, top)
             old = list(self.tables["levels"])
-            now = self.files("levels").join(rose.select("gram"), "gram", "left_anti").unionByName(rose.select("gram", "lvl"))
+            now = self.files("levels").join(rose.select("key"), "key", "left_anti").unionByName(rose.select("key", "lvl")) if old else rose.select("key", "lvl")
             now = scratch.keep(now, "levels")
             for t in old:
                 self.remove("levels", t)
             self.append("levels", now)
-            if self.tables["units"]:
-                listed = self.joined("units", rose.select("gram", "was"), ["kept", "klvl", "was"]).filter("klvl = was").select("kept").distinct()
+            if self.tables["entries"]:
+                listed = self.joined("entries", rose.select("key", "was"), ["kept", "klvl", "was"]).filter("klvl = was").select("kept").distinct()
                 sets = scratch.keep(self.joined("sets", listed, ["kept", "kgrams"]).toDF("kept", "grams"), "listed")
-                if not sets.isEmpty():
-                    self.append("units", self.prefixes_of(sets, "kept").select("gram", F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
+                again = self.prefixes_of(sets, "kept")
+                self.append("entries", again.select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("kname"), F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")))
         scratch.drop()
 
     def renew(self) -> None:
         """Raise the units whose lists have become long. Each table counts its own lists, bucket by bucket; only long ones are put together."""
-        tables = self.tables["units"]
-        long = [self.spark.table(t["name"]).groupBy("gram", "klvl").agg(F.count("*").alias("c")).filter(F.col("c") * len(tables) >= LIST) for t in tables]
+        tables = self.tables["entries"]
+        long = [self.spark.table(t["name"]).filter("klvl >= 0").groupBy("key", "klvl").agg(F.count("*").alias("c")).filter(F.col("c") * len(tables) >= LIST) for t in tables]
         if long:
-            lists = reduce(DataFrame.unionByName, long).groupBy("gram", "klvl").agg(F.sum("c").alias("c")).join(self.files("levels"), "gram", "left")
-            self.raise_units(lists.filter("klvl = coalesce(lvl, 0)").select("gram", F.col("klvl").alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+            lists = reduce(DataFrame.unionByName, long).groupBy("key", "klvl").agg(F.sum("c").alias("c")).join(self.files("levels"), "key", "left")
+            self.raise_units(lists.filter("klvl = coalesce(lvl, 0)").select("key", F.col("klvl").alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
 
-    def compact(self) -> None:
-        """Rewrite tables of FAN appends into the next tier; units of former levels are left out, and of a set's entries under a unit the last stays."""
-        for kind in self.SCHEMAS:
-            while kind != "levels" and (full := next((t for t in self.tables[kind] if t["appends"] >= FAN), None)):
-                rows = self.files(kind, [full])
-                if kind == "units":
-                    rows = rows.groupBy("gram", "klvl", "kept", "kn").agg(F.min("kpos").alias("kpos")).join(self.files("levels"), "gram", "left").filter("klvl = coalesce(lvl, 0)").select("gram", "klvl", "kept", "kn", "kpos")
-                self.append(kind, rows, full["tier"] + 1)
-                self.remove(kind, full)
+    def met(self) -> DataFrame:
+        """The entries that lookups can meet: those of former levels are left out, and of a set's under one unit the last stays."""
+        return self.of_now(self.files("entries"))
+
+    def of_now(self, entries: DataFrame) -> DataFrame:
+        once = entries.groupBy("key", "kname", "klvl", "kept", "kn").agg(F.min("kpos").alias("kpos"))
+        return once.join(self.files("levels"), "key", "left").filter("klvl < 0 or klvl = coalesce(lvl, 0)").drop("lvl")
 
     def longest_list(self) -> int:
         """The number of sets in the longest list that lookups can meet."""
-        now = self.files("units").join(self.files("levels"), "gram", "left").filter("klvl = coalesce(lvl, 0)")
-        return now.select("gram", "kept").distinct().groupBy("gram").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+        return self.met().filter("klvl >= 0").groupBy("key").agg(F.count("*").alias("c")).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+
+    def compact(self) -> None:
+        """Rewrite tables of FAN appends into the next tier, without what lookups can't meet."""
+        for kind in ("entries", "sets"):
+            while full := next((t for t in self.tables[kind] if t["appends"] >= FAN), None):
+                rows = self.files(kind, [full])
+                self.append(kind, self.of_now(rows) if kind == "entries" else rows, full["tier"] + 1)
+                self.remove(kind, full)
 
     def drop(self) -> None:
         """Delete the index' tables and files."""
@@ -202,11 +207,13 @@ class AcceptedIndex:
 
 @dataclass
 class _Batch:
-    """A batch's classes of equal texts (digest, cid, grams), the units they are listed under (gram, lvl, cid, n, pos), and whether these have few pairs."""
+    """A batch's nodes (id, h, digest, cid), classes of equal texts (cid, grams), and keys (key, name, lvl, owner, n, pos): of a node its
+    identity, of a class its content and the units it is listed under. few_pairs: whether these units have few pairs."""
 
     index: AcceptedIndex
+    nodes: DataFrame
     classes: DataFrame
-    units: DataFrame
+    keys: DataFrame
     few_pairs: bool
     pairs_per_entry: int
     task_rows: int
@@ -219,61 +226,83 @@ class _Batch:
     def verified(self, x: str, y: str) -> Column:
         return F.expr(self.index.close.close(f"size(array_intersect({x}, {y}))", f"size({x})", f"size({y})"))
 
+    @staticmethod
+    def handles(nodes: DataFrame, *keep: str) -> DataFrame:
+        """(keep, owner, own): every node under its own id, where its identity is, and under its class."""
+        both = F.array(F.struct(F.col("id").alias("owner"), F.lit(True).alias("own")), F.struct(F.col("cid").alias("owner"), F.lit(False).alias("own")))
+        return nodes.select(*keep, F.explode(both).alias("_o")).select(*keep, "_o.owner", "_o.own").filter("owner is not null")
+
     def entries(self, taken: DataFrame) -> dict[str, DataFrame]:
         """What accepted nodes (id, h, cid) add to the index."""
-        texts = taken.filter("cid is not null").select("cid", F.col("id").alias("kept"))
+        of = self.handles(taken.withColumn("kept", F.col("id")), "kept")
+        keys = self.keys.withColumn("own", F.col("lvl") == IDENTITY).join(of, ["owner", "own"])
         return {
-            "identities": taken.filter("h is not null").select("h", F.col("id").alias("kept")),
-            "contents": texts.join(self.classes.select("digest", "cid"), "cid").select("digest", "kept"),
-            "units": texts.join(self.units, "cid").select("gram", F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")),
-            "sets": texts.join(self.classes.select("cid", "grams"), "cid").select("kept", F.col("grams").alias("kgrams")),
+            "entries": keys.select("key", F.col("name").alias("kname"), F.col("lvl").alias("klvl"), "kept", F.col("n").alias("kn"), F.col("pos").alias("kpos")),
+            "sets": taken.select(F.col("id").alias("kept"), "cid").join(self.classes, "cid", "left").select("kept", F.coalesce("grams", F.array().cast("array<bigint>")).alias("kgrams")),
         }
 
-    def looked_up(self, nodes: DataFrame, within: dict[str, DataFrame] | None = None) -> DataFrame:
-        """nodes (id, h, digest, cid) with kept: the accepted row of the smallest key that each repeats, in the index or within other entries."""
-        index, sets = self.index, self.classes.select("cid", "grams")
-        units = self.units if within is None else self.units.join(nodes.select("cid").distinct(), "cid", "left_semi")
-        columns = ["cid", "lvl", "n", "pos", "kept", "klvl", "kn", "kpos"]
+    def near_accepted(self, nodes: DataFrame | None = None, within: dict[str, DataFrame] | None = None) -> DataFrame:
+        """(owner, own, kept): the accepted rows that the batch, or some of its nodes, repeats, in the index or within other entries."""
+        index, keys = self.index, self.keys
+        if nodes is not None:
+            keys = keys.withColumn("own", F.col("lvl") == IDENTITY).join(self.handles(nodes).distinct(), ["owner", "own"], "left_semi").drop("own")
+        columns = ["owner", "lvl", "klvl", "name", "kname", "n", "pos", "kept", "kn", "kpos"]
         hot = within is None and index.highest >= HOT
-        met = index.joined("units", units.filter(F.col("lvl") < HOT) if hot else units, columns, within)
+        met = index.joined("entries", keys.filter(F.col("lvl") < HOT) if hot else keys, columns, within)
         if hot:
-            met = met.unionByName(units.filter(F.col("lvl") >= HOT).join(index.files("units").filter(F.col("klvl") >= HOT), "gram").select(*columns))
+            met = met.unionByName(keys.filter(F.col("lvl") >= HOT).join(index.files("entries").filter(F.col("klvl") >= HOT), "key").select(*columns))
         # sizes and positions of a shared unit first; what they leave is verified once a pair
-        near = met.filter(F.col("lvl") == F.col("klvl")).filter(self.possible("n", "pos", "kn", "kpos")).select("cid", "kept").distinct()
-        near = index.joined("sets", near.join(sets, "cid"), ["cid", "kept", "grams", "kgrams"], within).filter(self.verified("grams", "kgrams")).select("cid", "kept")
-        same = index.joined("contents", self.classes.select("digest", "cid"), ["cid", "kept"], within)
-        by_text = near.unionByName(same).groupBy("cid").agg(F.min("kept").alias("kept_t"))
-        by_h = index.joined("identities", nodes.filter("h is not null").select("h", "id"), ["id", "kept"], within).groupBy("id").agg(F.min("kept").alias("kept_h"))
-        known = nodes.select("id", "h", "digest", "cid").join(by_text, "cid", "left").join(by_h, "id", "left")
-        return self.scratch.keep(known.select("id", "h", "digest", "cid", F.least("kept_t", "kept_h").alias("kept")), "known")
+        met = met.filter(F.col("lvl") == F.col("klvl")).filter(F.col("name").eqNullSafe(F.col("kname"))).filter((F.col("lvl") < 0) | self.possible("n", "pos", "kn", "kpos"))
+        met = met.groupBy("owner", (F.col("lvl") == IDENTITY).alias("own"), "kept").agg(F.max(F.col("lvl") < 0).alias("sure"))
+        met = met.join(self.classes.withColumnRenamed("cid", "owner"), "owner", "left")
+        return index.joined("sets", met, ["owner", "own", "kept", "sure", "grams", "kgrams"], within).filter(F.col("sure") | self.verified("grams", "kgrams")).select("owner", "own", "kept")
+
+    def near_each_other(self, units: DataFrame) -> DataFrame:
+        """(cid, near): close classes of the batch, both ways; units are those of the classes in question."""
+        left, right = units.alias("x"), units.alias("y")
+        pairs = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.owner") < F.col("y.owner")) & self.possible("x.n", "x.pos", "y.n", "y.pos"))
+        pairs = pairs.select(F.col("x.owner").alias("a"), F.col("y.owner").alias("b")).distinct()
+        pairs = pairs.join(self.classes.toDF("a", "ga"), "a").join(self.classes.toDF("b", "gb"), "b").filter(self.verified("ga", "gb")).select("a", "b")
+        both = F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("near")), F.struct(F.col("b").alias("cid"), F.col("a").alias("near")))
+        return pairs.select(F.explode(both).alias("p")).select("p.cid", "p.near")
+
+    def all_decided(self) -> DataFrame:
+        """(id, h, cid, kept) of all nodes; kept is null for the accepted."""
+        units = self.keys.filter("lvl >= 0")
+        few = self.nodes.limit(self.task_rows + 1).count() <= self.task_rows
+        if self.few_pairs and few:
+            near = self.near_accepted().withColumn("near", F.lit(None).cast("bigint"))
+            each = self.near_each_other(units).select(F.col("cid").alias("owner"), F.lit(False).alias("own"), F.lit(None).cast("bigint").alias("kept"), "near")
+            rows = self.handles(self.nodes, "id", "h", "cid").join(near.unionByName(each), ["owner", "own"], "left")
+            return self.scratch.keep(in_order(rows), "decided")
+        known = self.looked_up(self.nodes)
+        return known.filter("kept is not null").select("id", "h", "cid", "kept").unionByName(self.decided(known.filter("kept is null").drop("kept")))
+
+    def looked_up(self, nodes: DataFrame, within: dict[str, DataFrame] | None = None) -> DataFrame:
+        """nodes (id, h, cid) with kept: the accepted row of the smallest key that each repeats, in the index or within other entries."""
+        near = self.near_accepted(nodes, within).groupBy("owner", "own").agg(F.min("kept").alias("kept"))
+        known = self.handles(nodes, "id", "h", "cid").join(near, ["owner", "own"], "left").groupBy("id", "h", "cid").agg(F.min("kept").alias("kept"))
+        return self.scratch.keep(known, "known")
 
     def decided(self, nodes: DataFrame) -> DataFrame:
-        """(id, h, cid, kept) of nodes that repeat nothing accepted before them but, maybe, each other; kept is null for the accepted."""
-        free = self.units.join(nodes.filter("cid is not null").select("cid").distinct(), "cid", "left_semi")
-        if not self.few_pairs:
-            free = self.scratch.keep(free, "free")
-            if many_pairs(free, self.pairs_per_entry):
-                middle = nodes.approxQuantile("id", [0.5], 0.05)[0]
-                first, rest = nodes.filter(F.col("id") <= middle), nodes.filter(F.col("id") > middle)
-                if not first.isEmpty() and not rest.isEmpty():
-                    done = self.decided(first)
-                    known = self.looked_up(rest, self.entries(done.filter("kept is null")))
-                    return done.unionByName(known.filter("kept is not null").select("id", "h", "cid", "kept")).unionByName(self.decided(known.filter("kept is null").drop("kept")))
-        sets = self.classes.select("cid", "grams")
-        left, right = free.alias("x"), free.alias("y")
-        pairs = left.join(right, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.cid") < F.col("y.cid")) & self.possible("x.n", "x.pos", "y.n", "y.pos"))
-        pairs = pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-        pairs = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").filter(self.verified("ga", "gb")).select("a", "b")
-        both = F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("near")), F.struct(F.col("b").alias("cid"), F.col("a").alias("near")))
-        around = self.scratch.keep(pairs.select(F.explode(both).alias("p")).select("p.cid", "p.near"), "around")
-        nodes = nodes.select("id", "h", "cid")
+        """(id, h, cid, kept) of nodes (id, h, cid) that repeat nothing accepted before them but, maybe, each other; kept is null for the accepted."""
+        open_ = nodes.filter("cid is not null").select(F.col("cid").alias("owner")).distinct()
+        free = self.scratch.keep(self.keys.filter("lvl >= 0").join(open_, "owner", "left_semi"), "free")
+        if many_pairs(free, self.pairs_per_entry):
+            middle = nodes.approxQuantile("id", [0.5], 0.05)[0]
+            first, rest = nodes.filter(F.col("id") <= middle), nodes.filter(F.col("id") > middle)
+            if not first.isEmpty() and not rest.isEmpty():
+                done = self.decided(first)
+                known = self.looked_up(rest, self.entries(done.filter("kept is null")))
+                return done.unionByName(known.filter("kept is not null")).unionByName(self.decided(known.filter("kept is null").drop("kept")))
+        around = self.scratch.keep(self.near_each_other(free), "around")
         few = nodes.limit(self.task_rows + 1).count() <= self.task_rows
         return self.scratch.keep(in_one_task(nodes, around) if few else in_rounds(nodes, around, self.task_rows, self.scratch), "decided")
 
 
 def many_pairs(units: DataFrame, pairs_per_entry: int) -> bool:
     """Whether lists of units hold so many pairs that they had better not be compared all with all."""
-    load = units.groupBy("gram").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("entries")).first()
+    load = units.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("entries")).first()
     return (load["pairs"] or 0) > pairs_per_entry * (load["entries"] or 0) + 1_000_000 * (pairs_per_entry > 0)
 
 
@@ -306,20 +335,20 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     classes = nodes.filter("id = cid").select("digest", "cid", "grams")
     nodes = nodes.drop("grams")
 
-    often = classes.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
-    index.raise_units(often.join(index.levels(), "gram", "left").select("gram", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
-    units = scratch.keep(index.prefixes_of(classes.select("cid", "grams"), "cid"), "units")
+    often = classes.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
+    index.raise_units(often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+    named = lambda df, name, of, owner: df.filter(F.col(name).isNotNull()).select(F.xxhash64(F.lit(of), name).alias("key"), F.col(name).alias("name"), F.lit(of).alias("lvl"), F.col(owner).alias("owner"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
+    units = index.prefixes_of(classes.select("cid", "grams"), "cid").select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("name"), "lvl", F.col("cid").alias("owner"), "n", "pos")
+    keys = scratch.keep(named(nodes, "h", IDENTITY, "id").unionByName(named(classes, "digest", CONTENT, "cid")).unionByName(units), "keys")
 
-    it = _Batch(index, classes, units, not many_pairs(units, pairs_per_entry), pairs_per_entry, task_rows, scratch)
-    known = it.looked_up(nodes)
-    made = it.decided(known.filter("kept is null").drop("kept"))
-    decided = known.filter("kept is not null").select("id", "kept").unionByName(made.select("id", "kept"))
+    it = _Batch(index, nodes, classes.select("cid", "grams"), keys, not many_pairs(keys.filter("lvl >= 0"), pairs_per_entry), pairs_per_entry, task_rows, scratch)
+    decided = it.all_decided()
     # a row that isn't the first of its node repeats that, if it was accepted
-    node = nodes.join(decided, "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")
+    node = nodes.join(decided.select("id", "kept"), "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")
     match = rows["h"].eqNullSafe(node["nh"]) & rows["digest"].eqNullSafe(node["nd"])
     out = rows.select("id", "h", "digest").join(node, match, "left").select(F.col("id").alias(key), F.coalesce("kept", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("kept"))
 
-    new = it.entries(made.filter("kept is null").drop("kept"))
+    new = it.entries(decided.filter("kept is null").drop("kept"))
     with ThreadPoolExecutor(len(new) + 1) as at_once:
         written = at_once.submit(write_out, out, "admitted")
         list(at_once.map(lambda kind: index.append(kind, new[kind]), new))
@@ -335,6 +364,11 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
 def in_one_task(nodes: DataFrame, around: DataFrame) -> DataFrame:
     """(id, h, cid, kept) of nodes taken in order of id: kept is the smallest accepted node before it that shares its h, its cid, or is of a class
     `around` (cid, near) its own; null if there is none, and it is accepted. For a bounded number of nodes: one task takes them."""
+    return in_order(nodes.join(around, "cid", "left").select("id", "h", "cid", F.lit(None).cast("bigint").alias("kept"), "near"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The same of rows (id, h, cid, kept, near), one for each thing that is near a node: an accepted row of the index, or a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_h: dict[str, int] = {}
@@ -359,12 +393,14 @@ def in_one_task(nodes: DataFrame, around: DataFrame) -> DataFrame:
             return got
 
         for b in batches:
-            for i, h, c, near in zip(*(b.column(x).to_pylist() for x in ("id", "h", "cid", "near"))):
+            for i, h, c, kept, near in zip(*(b.column(x).to_pylist() for x in ("id", "h", "cid", "kept", "near"))):
                 if now is None or i != now[0]:
                     if now is not None:
                         ended()
                     now = i, h, c
                     found.clear()
+                if kept is not None:
+                    found.append(kept)
                 if near in of_c:
                     found.append(of_c[near])
             if out:
@@ -373,8 +409,7 @@ def in_one_task(nodes: DataFrame, around: DataFrame) -> DataFrame:
             ended()
             yield batch()
 
-    rows = nodes.join(around, "cid", "left").select("id", "h", "cid", "near")
-    return rows.repartition(1).sortWithinPartitions("id").mapInArrow(run, "id bigint, h string, cid bigint, kept bigint")
+    return rows.select("id", "h", "cid", "kept", "near").repartition(1).sortWithinPartitions("id").mapInArrow(run, "id bigint, h string, cid bigint, kept bigint")
 
 
 def in_rounds(nodes: DataFrame, around: DataFrame, task_rows: int, scratch: Scratch) -> DataFrame:
