@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Written, shared_dir, write_out
+from ..session import Written, release, shared_dir, write_out
 from .shingles import Closeness, prefix_sets, prefixes, shingled
 
 #: A unit in fewer texts has level 0; of every GROWTH times as many, one more.
@@ -41,6 +41,8 @@ HOT = 6
 IDENTITY, CONTENT = -2, -1
 #: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
 FAN, RENEW = 8, 4
+#: After so many batches the driver lets go of their plans.
+RELEASE = 2
 
 
 def level(count: Column) -> Column:
@@ -358,6 +360,8 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
         index.renew()
     index.compact()
     scratch.drop()
+    if index.batches % RELEASE == 0:
+        release(index.spark)
     return out
 
 
