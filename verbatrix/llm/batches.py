@@ -22,6 +22,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Written, release, shared_dir, write_out
+from ..session import Written, shared_dir, write_out
 from .shingles import Closeness, prefix_sets, prefixes, shingled
 
 #: A unit in fewer texts has level 0; of every GROWTH times as many, one more.
@@ -41,8 +42,8 @@ HOT = 6
 IDENTITY, CONTENT = -2, -1
 #: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
 FAN, RENEW = 8, 4
-#: After so many batches the driver lets go of their plans.
-RELEASE = 2
+#: Of smaller batches generated code would take longer to compile than to run, and fill the driver's memory: they are run without.
+SMALL = 20_000
 
 
 def level(count: Column) -> Column:
@@ -217,6 +218,7 @@ class _Batch:
     classes: DataFrame
     keys: DataFrame
     few_pairs: bool
+    count: int
     pairs_per_entry: int
     task_rows: int
     scratch: Scratch
@@ -271,8 +273,7 @@ class _Batch:
     def all_decided(self) -> DataFrame:
         """(id, h, cid, kept) of all nodes; kept is null for the accepted."""
         units = self.keys.filter("lvl >= 0")
-        few = self.nodes.limit(self.task_rows + 1).count() <= self.task_rows
-        if self.few_pairs and few:
+        if self.few_pairs and self.count <= self.task_rows:
             near = self.near_accepted().withColumn("near", F.lit(None).cast("bigint"))
             each = self.near_each_other(units).select(F.col("cid").alias("owner"), F.lit(False).alias("own"), F.lit(None).cast("bigint").alias("kept"), "near")
             rows = self.handles(self.nodes, "id", "h", "cid").join(near.unionByName(each), ["owner", "own"], "left")
@@ -302,6 +303,18 @@ class _Batch:
         return self.scratch.keep(in_one_task(nodes, around) if few else in_rounds(nodes, around, self.task_rows, self.scratch), "decided")
 
 
+@contextmanager
+def interpreted(spark: SparkSession, small: bool) -> Iterator[None]:
+    """Plan without whole-stage code generation meanwhile, if what is to be done is small."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false" if small else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def many_pairs(units: DataFrame, pairs_per_entry: int) -> bool:
     """Whether lists of units hold so many pairs that they had better not be compared all with all."""
     load = units.groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs"), F.sum("c").alias("entries")).first()
@@ -337,31 +350,31 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     classes = nodes.filter("id = cid").select("digest", "cid", "grams")
     nodes = nodes.drop("grams")
 
-    often = classes.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
-    index.raise_units(often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
-    named = lambda df, name, of, owner: df.filter(F.col(name).isNotNull()).select(F.xxhash64(F.lit(of), name).alias("key"), F.col(name).alias("name"), F.lit(of).alias("lvl"), F.col(owner).alias("owner"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
-    units = index.prefixes_of(classes.select("cid", "grams"), "cid").select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("name"), "lvl", F.col("cid").alias("owner"), "n", "pos")
-    keys = scratch.keep(named(nodes, "h", IDENTITY, "id").unionByName(named(classes, "digest", CONTENT, "cid")).unionByName(units), "keys")
-
-    it = _Batch(index, nodes, classes.select("cid", "grams"), keys, not many_pairs(keys.filter("lvl >= 0"), pairs_per_entry), pairs_per_entry, task_rows, scratch)
-    decided = it.all_decided()
-    # a row that isn't the first of its node repeats that, if it was accepted
-    node = nodes.join(decided.select("id", "kept"), "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")
-    match = rows["h"].eqNullSafe(node["nh"]) & rows["digest"].eqNullSafe(node["nd"])
-    out = rows.select("id", "h", "digest").join(node, match, "left").select(F.col("id").alias(key), F.coalesce("kept", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("kept"))
-
-    new = it.entries(decided.filter("kept is null").drop("kept"))
-    with ThreadPoolExecutor(len(new) + 1) as at_once:
-        written = at_once.submit(write_out, out, "admitted")
-        list(at_once.map(lambda kind: index.append(kind, new[kind]), new))
-        out = written.result().df
-    index.batches += 1
-    if index.batches % RENEW == 0:
-        index.renew()
-    index.compact()
+    count = nodes.count()
+    with interpreted(index.spark, count <= SMALL):
+        often = classes.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
+        index.raise_units(often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+        named = lambda df, name, of, owner: df.filter(F.col(name).isNotNull()).select(F.xxhash64(F.lit(of), name).alias("key"), F.col(name).alias("name"), F.lit(of).alias("lvl"), F.col(owner).alias("owner"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
+        units = index.prefixes_of(classes.select("cid", "grams"), "cid").select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("name"), "lvl", F.col("cid").alias("owner"), "n", "pos")
+        keys = scratch.keep(named(nodes, "h", IDENTITY, "id").unionByName(named(classes, "digest", CONTENT, "cid")).unionByName(units), "keys")
+
+        it = _Batch(index, nodes, classes.select("cid", "grams"), keys, not many_pairs(keys.filter("lvl >= 0"), pairs_per_entry), count, pairs_per_entry, task_rows, scratch)
+        decided = it.all_decided()
+        # a row that isn't the first of its node repeats that, if it was accepted
+        node = nodes.join(decided.select("id", "kept"), "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")
+        match = rows["h"].eqNullSafe(node["nh"]) & rows["digest"].eqNullSafe(node["nd"])
+        out = rows.select("id", "h", "digest").join(node, match, "left").select(F.col("id").alias(key), F.coalesce("kept", F.when(F.col("first") != F.col("id"), F.col("first"))).alias("kept"))
+
+        new = it.entries(decided.filter("kept is null").drop("kept"))
+        with ThreadPoolExecutor(len(new) + 1) as at_once:
+            written = at_once.submit(write_out, out, "admitted")
+            list(at_once.map(lambda kind: index.append(kind, new[kind]), new))
+            out = written.result().df
+        index.batches += 1
+        if index.batches % RENEW == 0:
+            index.renew()
+        index.compact()
     scratch.drop()
-    if index.batches % RELEASE == 0:
-        release(index.spark)
     return out
 
 
