@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -53,13 +52,6 @@ def clear_written(spark: SparkSession) -> int:
     return len(paths)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of plans that nothing refers to any more. Spark deletes their shuffle files and broadcasts on the executors only when the driver
-    has collected its garbage, which in a long loop of small jobs may be never."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 class Written:
     """A table written to the shared folder: lineage ends there and a lost executor loses nothing."""
 
