@@ -53,6 +53,14 @@ def bm25(q_terms: DataFrame, q_key: str, posts: DataFrame, doc_len: DataFrame, k
     return q_terms.join(scored, "term").groupBy(q_key, *key).agg(F.sum("part").alias("bm25"))
 
 
+def rare_rows(q_terms: DataFrame, posts: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """(store, h) of the rows that have a term of the questions which at most 4 x prefilter_candidates rows have: a coarse scan of vectors may
+    not see them, however well they answer."""
+    wanted = posts.join(q_terms.select("term").distinct(), "term", "left_semi")
+    rare = wanted.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") <= 4 * p.prefilter_candidates)
+    return wanted.join(rare.select("term"), "term", "left_semi").select("store", "h").distinct()
+
+
 def gate(q_terms: DataFrame, q_key: str, posts: DataFrame, doc_len: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(q_key, max_idf, gate): how much the lexical arm counts, by the question's rarest term; a term nobody has is the rarest."""
     df = posts.join(q_terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))

@@ -72,7 +72,9 @@ def ranked(log: DataFrame, vectors: DataFrame, q: np.ndarray, question: str, cfg
     score = lex.bm25(terms, "qid", posts, size, key, p).drop("qid")
     pool = res.join(score, key, "left").crossJoin(F.broadcast(weight)).join(cur, key, "left")
     pool = pool.withColumn("bm25", F.coalesce("bm25", F.lit(0.0))).withColumn("currency", F.coalesce("currency", F.lit(1.0))).withColumn("_all", F.lit(1))
-    out = lex.fused(pool, ["_all"], "res", "bm25", "gate", key, p).drop("_all").withColumn("final", F.col("fused") * F.col("currency"))
+    # vectors are kept in single precision: beyond five digits the order of cosines is noise
+    pool = pool.withColumn("_near", F.round("res", 5))
+    out = lex.fused(pool, ["_all"], "_near", "bm25", "gate", key, p).drop("_all", "_near").withColumn("final", F.col("fused") * F.col("currency"))
     later = superseded(log) if as_of is None else superseded(log).filter(F.lit(False))
     return out.join(later, key, "left").join(displaced(log), ["store", "h"], "left").join(visible.select(*key, "at", "kind", "topic"), key)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,10 @@ from ..operators.infer import collisions, displacements
 from ..operators.relate import relate
 from ..operators.retrieve import coarse, currency, families, nominated, resolution
 from ..schema import Params, StoreConfig
-from ..session import materialise, shared_dir
+from ..session import Written, materialise, shared_dir
 from ..sources.embed import HashedEmbedder, embed_distinct, embed_missing, text_digest, with_vectors
-from ..sources.translate import chunks, ledger, sections
+from ..sources.lines import from_lines, to_lines
+from ..sources.translate import chunks, ingest, ledger, sections
 from .ask import ranked
 
 DIM = 64
@@ -57,7 +60,7 @@ POSTS = f"""
 , docs AS (SELECT store, seq, {TOKENS.format(DOC)} AS toks FROM live)
 , posts AS (SELECT store, seq, term, count(*) AS tf FROM (SELECT store, seq, unnest(toks) AS term FROM docs) GROUP BY ALL)
 , sizes AS (SELECT store, seq, len(toks) AS doc_len FROM docs)
-, pool AS (SELECT count(*) AS n, sum(doc_len) / count(*) AS avgdl FROM sizes)
+, pool AS (SELECT (SELECT count(*) FROM log) AS n, sum(doc_len) / (SELECT count(*) FROM log) AS avgdl FROM sizes)
 , dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term)
 , q AS (SELECT item_id, unnest(list_distinct({TOKENS.format("coalesce(text, '')")})) AS term FROM eval_items)
 """
@@ -162,11 +165,14 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return L.alias_parents(log(spark, d))
 
 
-@query(BASE + ", asked AS (SELECT DISTINCT store, h, unnest(questions) AS question FROM log) SELECT store, h, question FROM asked a WHERE question IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log l WHERE l.kind = 'alias' AND l.store = a.store AND l.target = a.h AND l.text = a.question)")
+@query(BASE + """, asked AS (SELECT store, h, unnest(questions) AS question FROM log UNION SELECT store, h, 'what of ' || topic FROM live WHERE topic <> '')
+  SELECT store, h, question FROM asked a WHERE question IS NOT NULL AND NOT EXISTS (SELECT 1 FROM log l WHERE l.kind = 'alias' AND l.store = a.store AND l.target = a.h AND l.text = a.question)""")
 def fresh_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Of the questions that entries came with, all attached, and one about each topic: those that are new."""
     rows = log(spark, d)
     asked = L.question_rows(rows).select("store", "target", "text")
-    return L.fresh_questions(rows, asked).select("store", F.col("target").alias("h"), F.col("text").alias("question"))
+    more = L.live_rows(rows).filter("topic <> ''").select("store", F.col("h").alias("target"), F.concat(F.lit("what of "), "topic").alias("text"))
+    return L.fresh_questions(rows, asked.unionByName(more)).select("store", F.col("target").alias("h"), F.col("text").alias("question"))
 
 
 @query("SELECT e.store, e.seq, q.question FROM (SELECT store, seq, questions FROM entry_log QUALIFY row_number() OVER (PARTITION BY store, h ORDER BY seq) = 1) e, (SELECT unnest(e.questions) AS question) q WHERE q.question IS NOT NULL GROUP BY ALL")
@@ -273,14 +279,19 @@ def document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + POSTS + "SELECT count(*) AS n, round(sum(coalesce(doc_len, 0)) / count(*), 9) AS avgdl FROM log LEFT JOIN sizes USING (store, seq)")
 def doc_stats(spark: SparkSession, d: str) -> DataFrame:
-    size = log(spark, d).select("store", "seq").join(lex.lengths(live_docs(spark, d), ["store", "seq"], F.col("doc")), ["store", "seq"], "left")
-    return lex.pool_stats(size.withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))).withColumn("avgdl", F.round("avgdl", 9))
+    return lex.pool_stats(_all_lengths(log(spark, d), live_docs(spark, d))).withColumn("avgdl", F.round("avgdl", 9))
+
+
+def _all_lengths(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(store, seq, doc_len) of every row of the log; rows that aren't searched are empty."""
+    size = rows.select("store", "seq").join(lex.lengths(docs, ["store", "seq"], F.col("doc")), ["store", "seq"], "left")
+    return size.withColumn("doc_len", F.coalesce("doc_len", F.lit(0)))
 
 
 def _questions(spark: SparkSession, d: str) -> tuple:
     docs = materialise(live_docs(spark, d), "docs")
     key = ["store", "seq"]
-    return lex.question_terms(table(spark, d, "eval_items"), "item_id", F.col("text")), materialise(lex.postings(docs, key, F.col("doc")), "postings"), lex.lengths(docs, key, F.col("doc")), key
+    return lex.question_terms(table(spark, d, "eval_items"), "item_id", F.col("text")), materialise(lex.postings(docs, key, F.col("doc")), "postings"), _all_lengths(log(spark, d), docs), key
 
 
 @query(BASE + POSTS + BM25 + "SELECT item_id, store, seq, round(bm25, 6) AS bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25, 9) DESC, store, seq) AS rank FROM scored) WHERE rank <= 10")
@@ -299,13 +310,16 @@ def idf_gate(spark: SparkSession, d: str) -> DataFrame:
 
 HASHED = f"""
 , words AS (SELECT DISTINCT term, ('0x' || substr(sha256(term), 1, 8))::UBIGINT % {DIM} AS bucket, CASE WHEN ('0x' || substr(sha256(term), 9, 1))::UBIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign
-    FROM (SELECT unnest({TOKENS.format("t")}) AS term FROM (SELECT DISTINCT t FROM (SELECT text AS t FROM live UNION ALL SELECT topic FROM live UNION ALL SELECT '{QUESTION}')) WHERE t IS NOT NULL))
+    FROM (SELECT unnest({TOKENS.format("t")}) AS term FROM (SELECT DISTINCT t FROM (SELECT text AS t FROM log UNION ALL SELECT topic FROM log UNION ALL SELECT '{QUESTION}')) WHERE t IS NOT NULL))
 , qv AS (SELECT bucket, sum(sign) AS x FROM (SELECT unnest({TOKENS.format(f"'{QUESTION}'")}) AS term) JOIN words USING (term) GROUP BY bucket)
 , vv AS (SELECT store, seq, bucket, sum(sign) AS x FROM (SELECT store, seq, unnest({TOKENS.format("coalesce(text, '')")}) AS term FROM live) JOIN words USING (term) GROUP BY ALL)
 , kv AS (SELECT store, seq, bucket, sum(sign) AS x FROM (SELECT store, seq, unnest({TOKENS.format("CASE WHEN topic <> '' THEN topic ELSE coalesce(text, '') END")}) AS term FROM live) JOIN words USING (term) GROUP BY ALL)
 , cv AS (SELECT store, seq, sum(vv.x * qv.x) / nullif(sqrt(sum(vv.x * vv.x)) * (SELECT sqrt(sum(x * x)) FROM qv), 0) AS c FROM vv LEFT JOIN qv USING (bucket) GROUP BY ALL)
 , ck AS (SELECT store, seq, sum(kv.x * qv.x) / nullif(sqrt(sum(kv.x * kv.x)) * (SELECT sqrt(sum(x * x)) FROM qv), 0) AS c FROM kv LEFT JOIN qv USING (bucket) GROUP BY ALL)
-, res AS (SELECT l.store, l.seq, greatest(coalesce(cv.c, 0), coalesce(ck.c, 0)) AS res FROM live l LEFT JOIN cv USING (store, seq) LEFT JOIN ck USING (store, seq) WHERE l.text IS NOT NULL)
+, av AS (SELECT a.store, l.seq, a.seq AS alias_seq, a.text FROM unretracted a JOIN live l ON l.store = a.store AND l.h = a.target WHERE a.kind = 'alias' AND a.text IS NOT NULL)
+, at_ AS (SELECT store, seq, alias_seq, bucket, sum(sign) AS x FROM (SELECT store, seq, alias_seq, unnest({TOKENS.format("text")}) AS term FROM av) JOIN words USING (term) GROUP BY ALL)
+, ca AS (SELECT store, seq, max(c) AS c FROM (SELECT store, seq, alias_seq, sum(at_.x * qv.x) / nullif(sqrt(sum(at_.x * at_.x)) * (SELECT sqrt(sum(x * x)) FROM qv), 0) AS c FROM at_ LEFT JOIN qv USING (bucket) GROUP BY ALL) GROUP BY ALL)
+, res AS (SELECT l.store, l.seq, greatest(coalesce(cv.c, 0), coalesce(ck.c, 0), ca.c) AS res FROM live l LEFT JOIN cv USING (store, seq) LEFT JOIN ck USING (store, seq) LEFT JOIN ca USING (store, seq) WHERE l.text IS NOT NULL)
 """
 
 
@@ -320,21 +334,22 @@ def question_vector() -> np.ndarray:
     return HashedEmbedder(DIM).passages([QUESTION])[0]
 
 
-def _without_aliases(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.coalesce("kind", F.lit("note")) != "alias")
+def spoken(rows: DataFrame) -> DataFrame:
+    """The rows that have vectors: entries and aliases."""
+    return rows.filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract"))
 
 
 @query(BASE + HASHED + "SELECT store, seq, round(res, 5) AS res FROM res ORDER BY round(res, 5) DESC, store, seq LIMIT 50")
 def resolution_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = _without_aliases(log(spark, d))
-    res = resolution(rows, hashed_vectors(L.live_rows(rows)), question_vector())
+    rows = log(spark, d)
+    res = resolution(rows, hashed_vectors(spoken(rows)), question_vector())
     return res.select("store", "seq", F.round("res", 5).alias("res")).orderBy(F.desc("res"), "store", "seq").limit(50)
 
 
 @query(BASE + HASHED + "SELECT store, round(max(res), 2) AS support, CASE WHEN max(res) >= 0.65 THEN 'settled' WHEN max(res) < 0.55 THEN 'unwritten' ELSE 'sparse' END AS verdict FROM res GROUP BY store")
 def support_verdict(spark: SparkSession, d: str) -> DataFrame:
-    rows = _without_aliases(log(spark, d))
-    best = resolution(rows, hashed_vectors(L.live_rows(rows)), question_vector()).groupBy("store").agg(F.max("res").alias("s"))
+    rows = log(spark, d)
+    best = resolution(rows, hashed_vectors(spoken(rows)), question_vector()).groupBy("store").agg(F.max("res").alias("s"))
     return best.select("store", F.round("s", 2).alias("support"), X.verdict(F.col("s")).alias("verdict"))
 
 
@@ -342,7 +357,7 @@ ONE = f"""
 , docs AS (SELECT store, seq, {TOKENS.format(DOC)} AS toks FROM live)
 , posts AS (SELECT store, seq, term, count(*) AS tf FROM (SELECT store, seq, unnest(toks) AS term FROM docs) GROUP BY ALL)
 , sizes AS (SELECT store, seq, len(toks) AS doc_len FROM docs)
-, pool AS (SELECT count(*) AS n, sum(doc_len) / count(*) AS avgdl FROM sizes)
+, pool AS (SELECT (SELECT count(*) FROM log) AS n, sum(doc_len) / (SELECT count(*) FROM log) AS avgdl FROM sizes)
 , dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term)
 , q AS (SELECT DISTINCT unnest({TOKENS.format(f"'{QUESTION}'")}) AS term)
 , weight AS (SELECT least(1, greatest(0, (max(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) - 3) / 3)) AS gate FROM q LEFT JOIN dfs USING (term) CROSS JOIN pool)
@@ -356,32 +371,27 @@ ONE = f"""
 @query(BASE + HASHED + ONE + "SELECT store, seq, round(1.0 / (59 + r1) + CASE WHEN bm25 > 0 AND gate > 0 THEN gate / (59 + r2) ELSE 0 END, 9) AS fused FROM placed CROSS JOIN weight")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Both arms fused by rank, for every live row."""
-    rows = _without_aliases(log(spark, d))
+    rows = log(spark, d)
     key = ["store", "seq"]
     docs = materialise(live_docs(spark, d), "docs")
-    posts, size = materialise(lex.postings(docs, key, F.col("doc")), "postings"), lex.lengths(docs, key, F.col("doc"))
+    posts, size = materialise(lex.postings(docs, key, F.col("doc")), "postings"), _all_lengths(rows, docs)
     terms = lex.question_terms(spark.createDataFrame([(1, QUESTION)], "qid int, text string"), "qid", F.col("text"))
-    res = resolution(rows, hashed_vectors(L.live_rows(rows)), question_vector()).withColumn("res", F.round("res", 5))
+    res = resolution(rows, hashed_vectors(spoken(rows)), question_vector()).withColumn("res", F.round("res", 5))
     pool = res.join(lex.bm25(terms, "qid", posts, size, key).drop("qid"), key, "left").crossJoin(F.broadcast(lex.gate(terms, "qid", posts, size).select("gate")))
     out = lex.fused(pool.withColumn("all_", F.lit(1)).withColumn("bm25", F.coalesce("bm25", F.lit(0.0))), ["all_"], "res", "bm25", "gate", key)
     return out.select("store", "seq", F.round("fused", 9).alias("fused"))
 
 
-@query()
-def ask_ranked(spark: SparkSession, d: str) -> DataFrame:
-    rows = log(spark, d)
-    cfg = StoreConfig("hashed", DIM)
-    vec = hashed_vectors(rows.filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract")))
-    return ranked(rows, vec, question_vector(), QUESTION, cfg).orderBy(F.round("final", 12).desc(), "store", "seq").limit(20)
-
-
-@query()
+@query(BASE + HASHED + "SELECT store, seq, round(res, 5) AS res FROM res ORDER BY round(res, 5) DESC, store, seq LIMIT 50")
 def prefilter_rescore(spark: SparkSession, d: str) -> DataFrame:
-    rows = _without_aliases(log(spark, d))
-    vec = materialise(hashed_vectors(L.live_rows(rows)), "vec")
-    q = question_vector()
-    few = nominated(materialise(coarse(vec, DIM, 7), "coarse"), q, DIM, 7, p=Params(prefilter_candidates=500))
-    return resolution(rows, vec, q, few).orderBy(F.desc("res"), "store", "seq").limit(50)
+    """The best by a coarse scan of half the width, with the rows that have the question's rare terms, rescored exactly."""
+    rows = log(spark, d)
+    vec = materialise(hashed_vectors(spoken(rows)), "vec")
+    q, p = question_vector(), Params(prefilter_dim=DIM // 2)
+    posts = lex.postings(live_docs(spark, d), ["store", "seq", "h"], F.col("doc"))
+    terms = lex.question_terms(spark.createDataFrame([(1, QUESTION)], "qid int, text string"), "qid", F.col("text"))
+    few = nominated(materialise(coarse(vec, DIM, 7, p), "coarse"), q, DIM, 7, lex.rare_rows(terms, posts, p), p)
+    return resolution(rows, vec, q, few).select("store", "seq", F.round("res", 5).alias("res")).orderBy(F.desc("res"), "store", "seq").limit(50)
 
 
 @query("SELECT substr(sha256(text), 1, 32) AS digest, count(*) AS uses FROM entry_log WHERE text IS NOT NULL GROUP BY 1")
@@ -389,10 +399,13 @@ def embedding_digests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "entry_log").filter("text is not null").groupBy(text_digest().alias("digest")).agg(F.count("*").alias("uses"))
 
 
-@query("SELECT count(*) AS misses FROM (SELECT text FROM documents WHERE text IS NOT NULL EXCEPT SELECT text FROM entry_log)")
+@query("SELECT lang, count(DISTINCT text) AS misses FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM entry_log e WHERE e.text = d.text) GROUP BY lang")
 def embedding_misses(spark: SparkSession, d: str) -> DataFrame:
+    """What embedding the documents adds to a cache of the log's texts, by language."""
     cache = embed_distinct(table(spark, d, "entry_log").select("text"), "hashed", DIM)
-    return embed_missing(table(spark, d, "documents").select("text"), cache, embedder="hashed", dim=DIM).agg(F.count("*").alias("misses"))
+    docs = table(spark, d, "documents").filter("text is not null").select("lang", "text")
+    new = embed_missing(docs.select("text"), cache, embedder="hashed", dim=DIM).select("digest")
+    return docs.withColumn("digest", text_digest()).join(new, "digest").groupBy("lang").agg(F.countDistinct("digest").alias("misses"))
 
 
 @query(f"""WITH u AS (SELECT store, list_transform(k, lambda x: x / sqrt(list_aggregate(list_transform(k, lambda y: y::DOUBLE * y::DOUBLE), 'sum'))) AS k FROM vectors WHERE {UNIT_K}),
@@ -464,36 +477,148 @@ def fold_erase(spark: SparkSession, d: str) -> DataFrame:
     return _columns(fold(ops.unionByName(erase).drop("a"), 8, 1.0, unit=False))
 
 
-@query()
+# ------------------------------------------------------------------ the fold in SQL
+
+#: From vv_ (store, h, k, v as doubles): the fold's operations in order and every store's state after each of them.
+UNIT = "list_transform({0}, lambda x: x / CASE WHEN list_inner_product({0}, {0}) > 0 THEN sqrt(list_inner_product({0}, {0})) ELSE 1 END)"
+STATES = f"""
+, unit_ AS (SELECT store, h, {UNIT.format("k")} AS k, {UNIT.format("v")} AS v FROM vv_)
+, ops_ AS (
+  SELECT store, seq, NULL::VARCHAR AS target_h, k, v, 0.0::DOUBLE AS w FROM written JOIN unit_ USING (store, h)
+  UNION ALL SELECT e.store, e.seq, e.target_h, u.k, NULL::DOUBLE[], e.w FROM edges e JOIN unretracted t ON t.store = e.store AND t.h = e.target_h JOIN unit_ u ON u.store = e.store AND u.h = e.target_h
+    WHERE (e.store, e.seq) IN (SELECT (store, seq) FROM written)
+)
+, placed_ops AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY store ORDER BY seq, target_h NULLS LAST) AS rn FROM ops_)
+, st AS (
+  SELECT store, 0::BIGINT AS rn, list_transform(range({DIM * DIM}), lambda x: 0.0::DOUBLE) AS s FROM (SELECT DISTINCT store FROM placed_ops)
+  UNION ALL
+  SELECT store, rn, list_transform(range({DIM * DIM}), lambda x: s[x + 1] + r[x // {DIM} + 1] * k[x % {DIM} + 1]) FROM (
+    SELECT st.store, o.rn, st.s, o.k, list_transform(range({DIM}), lambda i: (CASE WHEN o.v IS NULL THEN -o.w * list_inner_product(st.s[i * {DIM} + 1 : i * {DIM} + {DIM}], o.k) ELSE o.v[i + 1] - list_inner_product(st.s[i * {DIM} + 1 : i * {DIM} + {DIM}], o.k) END)) AS r
+    FROM st JOIN placed_ops o ON o.store = st.store AND o.rn = st.rn + 1)
+)
+, states AS (SELECT store, arg_max(s, rn) AS s FROM st GROUP BY store)
+"""
+RECURSIVE = BASE.replace("WITH log", "WITH RECURSIVE log")
+GIVEN = f", vv_ AS (SELECT DISTINCT ON (store, h) store, h, list_transform(k, lambda x: x::DOUBLE) AS k, list_transform(v, lambda x: x::DOUBLE) AS v FROM vectors WHERE k IS NOT NULL AND v IS NOT NULL AND len(k) = {DIM} AND len(v) = {DIM})"
+SHOWN = f"""
+, counted AS (SELECT store, count(*) AS n, list(k) AS ks FROM written JOIN unit_ USING (store, h) GROUP BY store)
+, gram AS (SELECT a.store, sum(list_inner_product(a.k, b.k)) AS ksum, sum(list_inner_product(a.k, b.k) * list_inner_product(a.k, b.k)) AS lam FROM (SELECT * FROM written JOIN unit_ USING (store, h)) a JOIN (SELECT * FROM written JOIN unit_ USING (store, h)) b ON a.store = b.store GROUP BY a.store)
+SELECT store, n, round(list_sum(list_transform(range({DIM}), lambda i: s[i * {DIM + 1} + 1])), 6) AS trace, round(list_inner_product(s, s), 6) AS energy,
+  round(list_sum(list_transform(range({DIM * DIM}), lambda i: s[i + 1] * (i % 7 + 1))), 5) AS mixed, round(lam, 5) AS lam_energy, round(sqrt(ksum), 6) AS ksum_length
+FROM states JOIN counted USING (store) JOIN gram USING (store)
+"""
+
+
+def _shown(states: DataFrame) -> DataFrame:
+    """Figures that together say what a state is: of S its trace, its energy and a weighted sum, the second moment's energy, the keys' sum."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    energy = lambda c: total(F.transform(c, lambda x: x * x))
+    return states.select(
+        "store", "n", F.round(total(F.filter("s", lambda x, i: i % (DIM + 1) == 0)), 6).alias("trace"), F.round(energy("s"), 6).alias("energy"),
+        F.round(total(F.transform("s", lambda x, i: x * (i % 7 + 1))), 5).alias("mixed"), F.round(energy("lam"), 5).alias("lam_energy"), F.round(F.sqrt(energy("ksum")), 6).alias("ksum_length"),
+    )
+
+
+@query(RECURSIVE + GIVEN + ", written AS (SELECT * FROM live)" + STATES + SHOWN)
 def fold_state(spark: SparkSession, d: str) -> DataFrame:
-    return fold(operations(log(spark, d), table(spark, d, "vectors")), DIM).select("store", "n", "dim", "s")
+    return _shown(fold(operations(log(spark, d), table(spark, d, "vectors")), DIM))
 
 
-@query()
+@query(RECURSIVE + GIVEN + f", written AS (SELECT * FROM live WHERE instant <= epoch_us(TIMESTAMPTZ '{CUTOFF}'))" + STATES + SHOWN)
 def fold_time_travel(spark: SparkSession, d: str) -> DataFrame:
-    return fold(operations(log(spark, d), table(spark, d, "vectors"), CUTOFF), DIM).select("store", "n", "dim", "s")
+    return _shown(fold(operations(log(spark, d), table(spark, d, "vectors"), CUTOFF), DIM))
 
 
-@query()
+@query(BASE + GIVEN + """, written AS (SELECT * FROM live), unit_ AS (SELECT store, h, """ + UNIT.format("k") + """ AS k FROM vv_)
+SELECT store, seq, 'write' AS op, NULL::VARCHAR AS target_h, 0.0::DOUBLE AS w FROM written JOIN unit_ USING (store, h)
+UNION ALL SELECT e.store, e.seq, 'erase', e.target_h, e.w FROM edges e JOIN unretracted t ON t.store = e.store AND t.h = e.target_h JOIN unit_ u ON u.store = e.store AND u.h = e.target_h WHERE (e.store, e.seq) IN (SELECT (store, seq) FROM written)""")
+def fold_operations(spark: SparkSession, d: str) -> DataFrame:
+    """What the log compiles to: each live row's erases, then its write."""
+    rows = log(spark, d)
+    ops = operations(rows, table(spark, d, "vectors").filter((F.size("k") == DIM) & (F.size("v") == DIM)))
+    return ops.select("store", "seq", "op", "target_h", "w")
+
+
+@query(RECURSIVE + GIVEN + ", written AS (SELECT * FROM live)" + STATES + f"""
+, mine AS (SELECT store, h, k FROM written JOIN unit_ USING (store, h))
+, mu AS (SELECT store, count(*) AS n, list_transform(range({DIM}), lambda i: list_sum(list_transform(list(k), lambda x: x[i + 1])) / count(*)) AS m FROM mine GROUP BY store)
+, cen AS (SELECT store, n, list_transform(range({DIM}), lambda i: k[i + 1] - m[i + 1]) AS c FROM mine JOIN mu USING (store))
+, tr AS (SELECT store, any_value(n) AS n, sum(list_inner_product(c, c)) AS t FROM cen GROUP BY store)
+, en AS (SELECT a.store, sum(list_inner_product(a.c, b.c) * list_inner_product(a.c, b.c)) AS e FROM cen a JOIN cen b ON a.store = b.store GROUP BY a.store)
+SELECT store, n, round(CASE WHEN e > 1e-12 THEN t * t / e ELSE 0 END, 5) AS live_estimate, round(greatest(0, 1 - CASE WHEN e > 1e-12 THEN t * t / e ELSE 0 END / {DIM}), 6) AS headroom, round(list_inner_product(s, s), 5) AS energy
+FROM tr JOIN en USING (store) JOIN states USING (store)
+""")
 def spectral_gauge(spark: SparkSession, d: str) -> DataFrame:
-    return gauges(fold(operations(log(spark, d), table(spark, d, "vectors")), DIM))
+    g = gauges(fold(operations(log(spark, d), table(spark, d, "vectors")), DIM))
+    return g.select("store", "n", F.round("live_estimate", 5).alias("live_estimate"), F.round("headroom", 6).alias("headroom"), F.round("energy", 5).alias("energy"))
+
+
+FAMILIES = """, many AS (SELECT store, topic FROM live WHERE topic <> '' GROUP BY ALL HAVING count(*) > 1),
+  known AS (SELECT e.*, t.seq AS target_seq FROM edges e JOIN unretracted t ON t.store = e.store AND t.h = e.target_h),
+  fam AS (SELECT store, 't' || topic AS family, seq, h FROM live JOIN many USING (store, topic)
+    UNION ALL SELECT store, 'e:' || seq || ':' || target_seq, seq, h FROM known UNION ALL SELECT store, 'e:' || seq || ':' || target_seq, target_seq, target_h FROM known)"""
+CURRENCY = f"""
+, agreed AS (SELECT f.store, f.family, f.seq, greatest(1e-6, list_sum(list_transform(range({DIM}), lambda i: u.v[i + 1] * list_inner_product(s.s[i * {DIM} + 1 : i * {DIM} + {DIM}], u.k)))) AS agree
+    FROM fam f JOIN unit_ u ON u.store = f.store AND u.h = f.h JOIN states s ON s.store = f.store)
+, cur AS (SELECT store, seq, min(agree / best) AS currency FROM (SELECT *, max(agree) OVER (PARTITION BY store, family) AS best FROM agreed) GROUP BY store, seq)
+"""
 
 
-@query(BASE + """, many AS (SELECT store, topic FROM live WHERE topic <> '' GROUP BY ALL HAVING count(*) > 1),
-  known AS (SELECT e.*, t.seq AS target_seq FROM edges e JOIN unretracted t ON t.store = e.store AND t.h = e.target_h)
-  SELECT store, 't' || topic AS family, seq, h FROM live JOIN many USING (store, topic)
-  UNION ALL SELECT store, 'e:' || seq || ':' || target_seq, seq, h FROM known UNION ALL SELECT store, 'e:' || seq || ':' || target_seq, target_seq, target_h FROM known""")
+@query(BASE + FAMILIES + " SELECT store, family, seq, h FROM fam")
 def supersession_families(spark: SparkSession, d: str) -> DataFrame:
     return families(table(spark, d, "entry_log")).select("store", "family", "seq", "h")
 
 
-@query()
+@query(RECURSIVE + GIVEN + ", written AS (SELECT * FROM live)" + STATES + FAMILIES + CURRENCY + "SELECT store, seq, round(currency, 5) AS currency FROM cur")
 def fused_currency(spark: SparkSession, d: str) -> DataFrame:
     rows, vec = log(spark, d), table(spark, d, "vectors")
-    return currency(rows, vec, materialise(fold(operations(rows, vec), DIM), "states"))
+    return currency(rows, vec, materialise(fold(operations(rows, vec), DIM), "states")).withColumn("currency", F.round("currency", 5))
 
 
-@query()
+#: The built-in embedder's vectors as lists, for the fold.
+DENSE = f"""
+, dv AS (SELECT store, seq, map(list(bucket), list(x)) AS m FROM vv GROUP BY ALL), dk AS (SELECT store, seq, map(list(bucket), list(x)) AS m FROM kv GROUP BY ALL)
+, vv_ AS (SELECT l.store, l.h, list_transform(range({DIM}), lambda i: coalesce(dk.m[i::UBIGINT], 0)::DOUBLE) AS k, list_transform(range({DIM}), lambda i: coalesce(dv.m[i::UBIGINT], 0)::DOUBLE) AS v
+    FROM live l LEFT JOIN dv USING (store, seq) LEFT JOIN dk USING (store, seq) WHERE l.text IS NOT NULL)
+, written AS (SELECT * FROM live)
+"""
+
+
+@query(RECURSIVE + HASHED + ONE + DENSE + STATES + FAMILIES + CURRENCY + """
+, ranked_ AS (SELECT p.store, p.seq, p.res, (1.0 / (59 + r1) + CASE WHEN bm25 > 0 AND gate > 0 THEN gate / (59 + r2) ELSE 0 END) * coalesce(c.currency, 1) AS final FROM placed p CROSS JOIN weight LEFT JOIN cur c USING (store, seq))
+SELECT store, seq, round(res, 5) AS res, round(final, 7) AS final FROM ranked_ ORDER BY round(final, 9) DESC, store, seq LIMIT 20""")
+def ask_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """The answer to a question over all stores: both arms, aliases, the gate and currency."""
+    rows = log(spark, d)
+    vec = materialise(hashed_vectors(spoken(rows)), "vec")
+    out = ranked(rows, vec, question_vector(), QUESTION, StoreConfig("hashed", DIM))
+    return out.orderBy(F.round("final", 9).desc(), "store", "seq").limit(20).select("store", "seq", F.round("res", 5).alias("res"), F.round("final", 7).alias("final"))
+
+
+RELATE_FLOOR = 0.3
+RELATED = f"""
+, uv AS (SELECT DISTINCT ON (store, h) store, h, {UNIT.format("k_")} AS k, {UNIT.format("v_")} AS v FROM (SELECT *, list_transform(k, lambda x: x::DOUBLE) AS k_, list_transform(v, lambda x: x::DOUBLE) AS v_ FROM vectors WHERE {UNIT_V} AND {UNIT_K}))
+, p AS MATERIALIZED (SELECT l.store AS source, l.seq, l.h, l.topic, l.instant, u.k, u.v FROM live l JOIN uv u USING (store, h))
+, total AS (SELECT list_transform(range({DIM}), lambda i: list_sum(list_transform(list(k), lambda x: x[i + 1]))) AS t FROM p)
+, mu AS (SELECT {UNIT.format("t")} AS m FROM total)
+, c0 AS (SELECT p.*, list_transform(range({DIM}), lambda i: v[i + 1] - list_inner_product(v, m) * m[i + 1]) AS y FROM p, mu)
+, c AS MATERIALIZED (SELECT * EXCLUDE (y), {UNIT.format("y")} AS y FROM c0)
+, first_ AS (SELECT source FROM p GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)
+, anchors AS (SELECT row_number() OVER (ORDER BY instant DESC, seq) - 1 AS hit, * FROM c WHERE source = (SELECT source FROM first_) QUALIFY hit < 3)
+, cand AS (SELECT a.hit, x.source, x.seq, coalesce(nullif(x.topic, ''), x.h) AS slot, list_inner_product(a.v, x.v) AS cosine, list_inner_product(a.y, x.y) AS centred FROM anchors a JOIN c x ON x.source <> a.source
+    WHERE list_inner_product(a.v, x.v) >= {RELATE_FLOOR} AND x.h NOT IN (SELECT h FROM anchors))
+, wanted AS (SELECT DISTINCT x.source, x.seq, x.y FROM c x JOIN cand USING (source, seq))
+, hub AS (SELECT source, seq, avg(d) AS hubness FROM (SELECT w.source, w.seq, list_inner_product(w.y, o.y) AS d FROM wanted w JOIN c o ON o.source = w.source AND o.seq <> w.seq
+    QUALIFY row_number() OVER (PARTITION BY w.source, w.seq ORDER BY list_inner_product(w.y, o.y) DESC) <= 10) GROUP BY ALL)
+, scored AS (SELECT cand.*, 2 * centred - coalesce(hubness, 0) AS score FROM cand LEFT JOIN hub USING (source, seq))
+, one AS MATERIALIZED (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY hit, source, slot ORDER BY round(score, 9) DESC, seq) = 1)
+""" + "".join(f"""
+, t{n} AS (SELECT * FROM one WHERE hit = {n}{"".join(f" AND slot NOT IN (SELECT slot FROM h{i})" for i in range(n))} QUALIFY row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, seq) <= 2)
+, h{n} AS MATERIALIZED (SELECT * FROM t{n} QUALIFY row_number() OVER (ORDER BY round(score, 9) DESC, source, seq) <= least(6, 12{"".join(f" - (SELECT count(*) FROM h{i})" for i in range(n))}))""" for n in range(3)) + """
+SELECT hit::INT AS hit, source, seq, round(cosine, 6) AS cosine, round(score, 6) AS score FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)"""
+
+
+@query(BASE + RELATED)
 def relate_cross_store(spark: SparkSession, d: str) -> DataFrame:
     """What other stores hold near the three newest entries of the store with most rows."""
     vec = table(spark, d, "vectors").filter(usable(F.col("v"), DIM) & usable(F.col("k"), DIM)).dropDuplicates(["store", "h"]).select("store", "h", "k", "v")
@@ -501,7 +626,7 @@ def relate_cross_store(spark: SparkSession, d: str) -> DataFrame:
     pool = materialise(rows.withColumnRenamed("store", "source"), "pool")
     first = pool.groupBy("source").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "source").first()[0]
     anchors = [r.asDict() for r in pool.filter(F.col("source") == first).orderBy(instant_micros(F.col("at")).desc(), "seq").limit(3).collect()]
-    found = [(i, r["source"], r["seq"], round(r["cosine"], 6), round(r["score"], 6)) for i, rs in enumerate(relate(pool, anchors)) for r in rs]
+    found = [(i, r["source"], r["seq"], round(r["cosine"], 6), round(r["score"], 6)) for i, rs in enumerate(relate(pool, anchors, Params(relate_floor=RELATE_FLOOR))) for r in rs]
     return spark.createDataFrame(found, "hit int, source string, seq bigint, cosine double, score double")
 
 
@@ -524,12 +649,45 @@ def earlier_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(BASE + POSTS + "SELECT store, seq, term, tf FROM posts")
 def stream_catch_up(spark: SparkSession, d: str) -> DataFrame:
-    """The postings of live rows, by micro-batches over the log's files."""
-    import uuid
-
+    """The postings of live rows, by micro-batches over the log in twelve files: seven come first, the others after a restart."""
     from ..streaming.catchup import catch_up
 
     src = table(spark, d, "entry_log")
-    folder = f"{shared_dir(spark)}/verbatrix/stream-{uuid.uuid4().hex[:10]}"
-    tables = catch_up(spark, f"{d}/entry_log.parquet", src.schema, folder, files_per_batch=8)
-    return tables.live("postings").select("store", "seq", "term", "tf")
+    scratch = Written(spark, f"{shared_dir(spark)}/verbatrix/stream-{uuid.uuid4().hex[:10]}")
+    parts = src.withColumn("part", F.pmod(F.floor(F.col("seq") / 97), F.lit(12)))
+    for some in ("part < 7", "part >= 7"):
+        parts.filter(some).repartition("part").drop("part").write.mode("append").parquet(f"{scratch.path}/log")
+        tables = catch_up(spark, f"{scratch.path}/log", src.schema, f"{scratch.path}/tables", files_per_batch=2)
+    out = materialise(tables.live("postings").select("store", "seq", "term", "tf"), "caught_up")
+    scratch.drop()
+    return out
+
+
+# ------------------------------------------------------------------ files
+
+
+@query("""SELECT h, coalesce(kind, 'note') AS kind, "at", topic, text, target, (SELECT count(*) FROM (SELECT unnest(map_keys(e.slots)))) AS slots, coalesce(list_sum(list_transform(displaces, lambda d: round(d.w, 6))), 0) AS weights, coalesce(len(questions), 0) AS questions, count(*) AS n
+  FROM (SELECT * EXCLUDE target, nullif(target, '') AS target FROM entry_log) e GROUP BY ALL""")
+def wire_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The log written as lines and read again; identities are computed from what was read."""
+    rows = table(spark, d, "entry_log").withColumn("at", F.col("at"))
+    written = Written(spark, f"{shared_dir(spark)}/verbatrix/lines-{uuid.uuid4().hex[:10]}")
+    to_lines(rows).write.text(written.path)
+    back = from_lines(spark, written.path, "all")
+    weights = F.coalesce(F.aggregate("displaces", F.lit(0.0), lambda a, x: a + F.round(x["w"], 6)), F.lit(0.0))
+    out = back.select("h", "kind", "at", "topic", "text", "target", F.size("slots").alias("slots"), weights.alias("weights"), F.size("questions").alias("questions"))
+    out = materialise(out.groupBy(*out.columns).agg(F.count("*").alias("n")), "read_again")
+    written.drop()
+    return out
+
+
+@query("""SELECT text, topic, kind, count(*) AS n, '2024-05-06T07:08:09.000Z' AS "at" FROM (SELECT text, CASE WHEN lang <> '' THEN lang END AS topic, CASE WHEN kind IS NULL THEN 'note' ELSE kind END AS kind FROM documents WHERE text IS NOT NULL) GROUP BY ALL""")
+def ingest_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through JSON lines in several files, among comments and blank lines, under one stamp."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.to_json(F.struct("text", F.when(F.col("lang") != "", F.col("lang")).alias("topic"), "kind")).alias("value"))
+    written = Written(spark, f"{shared_dir(spark)}/verbatrix/jsonl-{uuid.uuid4().hex[:10]}")
+    docs.select(F.explode(F.array(F.lit("# a comment"), F.lit("  "), F.concat(F.lit("\t"), "value"))).alias("value")).repartition(3).write.text(written.path)
+    got = ingest(spark, "jsonl", [f"{written.path}/part-*"], "2024-05-06T07:08:09.000Z")
+    out = materialise(got.groupBy("text", "topic", "kind", "at").agg(F.count("*").alias("n")), "ingested")
+    written.drop()
+    return out
