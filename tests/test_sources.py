@@ -10,7 +10,7 @@ from verbatrix.operators import log as L
 from verbatrix.schema import LOG
 from verbatrix.sources import translate as T
 from verbatrix.sources.embed import embed_distinct, embed_missing
-from verbatrix.sources.stores import Store, connector
+from verbatrix.sources.stores import Disk, Store, reader
 from verbatrix.streaming.catchup import DerivedTables, catch_up
 
 
@@ -91,7 +91,7 @@ def test_store_and_command_line(spark, tmp_path):
     assert do("recompile", "--model", "hashed", "--dim", "64", "--out", str(tmp_path / "wide"))[0]["entries"] == Store(spark, at).log().count()
     assert do("others", "remove", "team")[0]["removed"]
     with pytest.raises(ValueError):
-        connector("ipfs://x")
+        reader(spark, "ipfs://x")
 
 
 def test_lifted_and_bound(spark, tmp_path, monkeypatch):
@@ -119,9 +119,14 @@ def test_mirror_heals(spark, tmp_path):
     readable, warnings = Store(spark, a).readable()
     assert list(readable) == ["a"] and "dim" in warnings[0]
     cfg = json.loads((tmp_path / "b" / "config.json").read_text())
+    (tmp_path / "b" / ".config.json.crc").unlink(missing_ok=True)
     (tmp_path / "b" / "config.json").write_text(json.dumps({**cfg, "dim": 32, "d_embed": 32}))
     assert list(Store(spark, a).readable()[0]) == ["a", "b"]
+    # what can't be reached is as it was mirrored last; what never could be isn't there
     (tmp_path / "b" / "config.json").unlink()
+    (tmp_path / "b" / ".config.json.crc").unlink(missing_ok=True)
+    assert list(Store(spark, a).readable()[0]) == ["a", "b"]
+    Disk(spark, f"{a}/mirrors/b").delete()
     assert "can't be read" in Store(spark, a).readable()[1][0]
 
 

@@ -73,7 +73,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
 
             start = (store.log().agg(F.max("seq")).first()[0] or 0) + 1
             trial = store.log().unionByName(entry.withColumn("store", F.lit(store.name)).withColumn("h", identity_column()).withColumn("seq", F.lit(start).cast("bigint")))
-            found = displacements(trial, fold_vectors(trial, store.config), store.config.dim).filter(F.col("seq") == start)
+            found = displacements(trial, fold_vectors(trial, store.config), store.config.dim, since=start)
             entry = with_displacements(trial.filter(F.col("seq") == start), found).select(*ENTRY.names)
             shown = [r.asDict() for r in found.select("target_h", "w", attenuation_reading(F.col("w")).alias("reading")).collect()]
             return [{"added": store.append(entry), "displaced": shown}]

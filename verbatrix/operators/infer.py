@@ -16,6 +16,8 @@ from ..session import materialise
 from .log import distinct_log, latest_by_topic, live_rows, with_ordinal
 
 BLOCK = 1024
+#: So many blocks ask in one task at most (64 MB of keys at 1024 dimensions).
+ASKING = 16
 
 
 def packed_keys(vectors: DataFrame, dim: int) -> DataFrame:
@@ -31,48 +33,93 @@ def packed_keys(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.size("k") == dim).select("store", "h", "k").mapInArrow(run, "store string, h string, k binary")
 
 
-def displacements(log: DataFrame, vectors: DataFrame, dim: int, p: Params = DEFAULTS, block: int = BLOCK) -> DataFrame:
+def displacements(log: DataFrame, vectors: DataFrame, dim: int, p: Params = DEFAULTS, block: int = BLOCK, since: int | None = None) -> DataFrame:
     """(store, seq, h, target_seq, target_h, cosine, w): of every live entry without topic the `displace_top` most similar entries
     before it in its store, by keys, with a cosine of at least the floor; w is the cosine, capped and rounded to 3 digits. Ties: the earlier one.
+    With since, only entries from that seq on ask; all earlier ones are still looked at.
 
     Only live entries displace and are displaced. Entries without a usable key neither do nor are. Every earlier entry is looked at, as the
-    definition has it: a store's rows are dealt into blocks of `block` in order of writing, each block's queries meet each block not
-    after it in one matrix product, and only the best of each product leave it. Blocks without queries aren't probed.
+    definition has it. A store's rows are dealt into blocks of `block` in order of writing, which are written with their keys once; what asks is
+    one block's rows at a time, and the blocks not after it come to its task one by one, for one matrix product each, of which only
+    the best leave it. Each block is sent once to every group of up to ASKING asking blocks, not to every block. Blocks without queries aren't probed.
     """
     rows = live_rows(distinct_log(log)).select("store", "seq", "h", (F.coalesce("topic", F.lit("")) == "").alias("asks"))
+    rows = rows if since is None else rows.withColumn("asks", F.col("asks") & (F.col("seq") >= since))
     numbered = with_ordinal(rows, ["store"], ["seq"], "place").withColumn("block", F.floor((F.col("place") - 1) / block).cast("int"))
-    keyed = numbered.join(packed_keys(vectors, dim).dropDuplicates(["store", "h"]), ["store", "h"])
-    blocks = keyed.groupBy("store", "block").agg(F.collect_list(F.struct("seq", "asks", "k")).alias("rows"), F.max("asks").alias("asking"))
-    blocks = materialise(blocks, "blocks")
-    seqs, asks, ks = F.col("rows.seq"), F.col("rows.asks"), F.col("rows.k")
-    a = blocks.filter("asking").select("store", F.col("block").alias("qa"), seqs.alias("q_seq"), asks.alias("q_asks"), ks.alias("q_k"))
-    b = blocks.select("store", F.col("block").alias("qb"), seqs.alias("t_seq"), ks.alias("t_k"))
-    pairs = a.join(b, (a["store"] == b["store"]) & (b["qb"] <= a["qa"])).select(a["store"], "q_seq", "q_asks", "q_k", "t_seq", "t_k")
+    keyed = materialise(numbered.join(packed_keys(vectors, dim).dropDuplicates(["store", "h"]), ["store", "h"]).select("store", "block", "seq", "h", "asks", "k"), "keyed")
+    # groups of blocks that ask share what they are compared with: a row of the task's stream is a key, for one group
+    asking, cores = keyed.filter("asks").select("store", "block").distinct(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = asking.count()
+    per = max(1, min(ASKING, blocks // (2 * cores)))
+    asking = asking.select("store", F.floor(F.col("block") / per).cast("int").alias("group")).distinct()
+    last = F.col("group") * per + (per - 1)
+    sent = keyed.join(asking, "store").filter(F.col("block") <= last).withColumn("mine", F.floor(F.col("block") / per) == F.col("group"))
+    parts = max(1, min(4 * cores, blocks // per + 1))
+    # first the group's own rows, which it keeps, then the earlier ones, which pass by
+    stream = sent.select("store", "group", "mine", "block", "seq", "asks", "k").repartition(parts, "store", "group").sortWithinPartitions("store", "group", F.desc("mine"), "seq")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                q_seq, t_seq, asks_ = (batch.column(c)[n].values.to_numpy(zero_copy_only=False) for c in ("q_seq", "t_seq", "q_asks"))
-                q_k, t_k = (np.frombuffer(b"".join(batch.column(c)[n].values.to_pylist()), np.float32).reshape(-1, dim) for c in ("q_k", "t_k"))
-                x = unit_rows(q_k[asks_]).astype(np.float32)
-                q_seq = q_seq[asks_]
-                near = x @ unit_rows(t_k).astype(np.float32).T
-                i, j = np.nonzero((near >= p.displace_floor - 1e-4) & (t_seq[None, :] < q_seq[:, None]))
-                # what is near in single precision is decided in double
-                cos = np.round(np.einsum("ij,ij->i", unit_rows(q_k[asks_][i]), unit_rows(t_k[j])), 9)
-                sure = cos >= p.displace_floor
-                i, j, cos = i[sure], j[sure], cos[sure]
-                order = np.lexsort((t_seq[j], -cos, i))
-                i, j, cos = i[order], j[order], cos[order]
-                counts = np.bincount(i, minlength=len(q_seq))
-                keep = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < p.displace_top
-                i, j, cos = i[keep], j[keep], cos[keep]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("store")[n], len(i)), pa.array(q_seq[i]), pa.array(t_seq[j]), pa.array(cos)], ["store", "seq", "target_seq", "cosine"])
-
-    found = pairs.mapInArrow(best, "store string, seq bigint, target_seq bigint, cosine double")
+        own: list = []
+        rest: list = []
+        now, asked, asked_seq = None, None, None
+
+        def compared(seqs: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+            near = asked @ unit_rows(keys).astype(np.float32).T
+            i, j = np.divmod(np.flatnonzero(near.ravel() >= p.displace_floor - 1e-4), near.shape[1])
+            before = seqs[j] < asked_seq[i]
+            i, j = i[before], j[before]
+            # what is near in single precision is decided in double
+            cos = np.round(np.einsum("ij,ij->i", unit_rows(exact[i]), unit_rows(keys[j])), 9)
+            sure = cos >= p.displace_floor
+            i, j, cos = i[sure], j[sure], cos[sure]
+            order = np.lexsort((seqs[j], -cos, i))
+            i, j, cos = i[order], j[order], cos[order]
+            counts = np.bincount(i, minlength=len(asked_seq))
+            keep = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) < p.displace_top
+            i, j, cos = i[keep], j[keep], cos[keep]
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now[0], pa.string()), len(i)), pa.array(asked_seq[i]), pa.array(seqs[j]), pa.array(cos)], ["store", "seq", "target_seq", "cosine"])
+
+        def taken(of: list) -> tuple[np.ndarray, np.ndarray]:
+            seqs, keys = np.array([r[0] for r in of], np.int64), np.frombuffer(b"".join(r[2] for r in of), np.float32).reshape(-1, dim)
+            of.clear()
+            return seqs, keys
+
+        exact = np.zeros((0, dim), np.float32)
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            nonlocal asked, asked_seq, exact
+            asks = np.array([r[1] for r in own], bool)
+            seqs, keys = taken(own)
+            asked_seq, exact = seqs[asks], keys[asks]
+            asked = unit_rows(exact).astype(np.float32)
+            for a in range(0, len(seqs), block):
+                yield compared(seqs[a : a + block], keys[a : a + block])
+
+        for b in batches:
+            for s, g, mine, seq, asks, k in zip(*(b.column(c).to_pylist() for c in ("store", "group", "mine", "seq", "asks", "k"))):
+                if (s, g) != now:
+                    if own:
+                        yield from ready()
+                    if rest:
+                        yield compared(*taken(rest))
+                    now, asked = (s, g), None
+                if mine:
+                    own.append((seq, asks, k))
+                    continue
+                if asked is None:
+                    yield from ready()
+                rest.append((seq, asks, k))
+                if len(rest) == block:
+                    yield compared(*taken(rest))
+        if own:
+            yield from ready()
+        if rest:
+            yield compared(*taken(rest))
+
+    found = stream.mapInArrow(best, "store string, seq bigint, target_seq bigint, cosine double")
     w = Window.partitionBy("store", "seq").orderBy(F.col("cosine").desc(), "target_seq")
     top = found.withColumn("rn", F.row_number().over(w)).filter(f"rn <= {p.displace_top}").drop("rn")
-    names = rows.select("store", F.col("seq"), "h")
+    names = keyed.select("store", "seq", "h")
     return (
         top.join(names, ["store", "seq"])
         .join(names.select("store", F.col("seq").alias("target_seq"), F.col("h").alias("target_h")), ["store", "target_seq"])

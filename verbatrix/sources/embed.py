@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import Lift, bind_slots, unit_rows
+from ..functions.vectors import Lift, bind_rows, bind_slots, unit_rows
 from ..schema import StoreConfig
 
 TOKEN = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
@@ -123,8 +123,8 @@ def fold_vectors(log: DataFrame, cfg: StoreConfig) -> DataFrame:
             k, v = np.stack(b["k"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
             if lift is not None:
                 k, v = lift.keys(k), lift.values(v)
-            k = [bind_slots(x, dict(zip(n, y)) if n is not None else None, cfg.seed) for x, n, y in zip(k, b["names"], b["given"])]
-            yield b[["store", "h", "target", "kind"]].assign(k=[x.tolist() for x in k], v=v.tolist())
+            k = bind_rows(k, [dict(zip(n, y)) if n is not None else None for n, y in zip(b["names"], b["given"])], cfg.seed)
+            yield b[["store", "h", "target", "kind"]].assign(k=k.tolist(), v=v.tolist())
 
     given = own.select("store", "h", "target", "kind", F.map_keys("slots").alias("names"), F.map_values("slots").alias("given"), "k", "v")
     made = given.mapInPandas(run, "store string, h string, target string, kind string, k array<double>, v array<double>")

@@ -24,13 +24,13 @@ def to_lines(log: DataFrame) -> DataFrame:
 
 
 def from_lines(spark: SparkSession, path: str, store: str) -> DataFrame:
-    """LOG's columns from a file of lines; blank lines are skipped, missing fields get their defaults, the identity is computed."""
-    raw = spark.read.text(path).filter(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("_at"))
-    r = raw.select("_at", F.from_json("value", WIRE, {"mode": "FAILFAST"}).alias("r"))
+    """LOG's columns from files of lines, in the order of their names; blank lines are skipped, missing fields get their defaults, the identity is computed."""
+    raw = spark.read.text(path).filter(F.trim("value") != "").select("value", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    r = raw.select("_file", "_at", F.from_json("value", WIRE, {"mode": "FAILFAST"}).alias("r"))
     out = r.select(
-        "_at", F.lit(store).alias("store"), "r.text", "r.topic", "r.at", F.coalesce("r.kind", F.lit("note")).alias("kind"),
+        "_file", "_at", F.lit(store).alias("store"), "r.text", "r.topic", "r.at", F.coalesce("r.kind", F.lit("note")).alias("kind"),
         F.coalesce("r.slots", F.create_map().cast("map<string,string>")).alias("slots"),
         F.coalesce(F.transform("r.displaces", lambda d: F.struct(d[0].alias("target_h"), d[1].cast("double").alias("w"))), F.array().cast("array<struct<target_h:string,w:double>>")).alias("displaces"),
         F.col("r.target").alias("target"), F.coalesce("r.questions", F.array().cast("array<string>")).alias("questions"),
     ).withColumn("h", identity_column())
-    return with_ordinal(out, ["store"], ["_at"], "seq").select("seq", "store", "h", "text", "topic", "at", "kind", "slots", "displaces", "target", "questions")
+    return with_ordinal(out, ["store"], ["_file", "_at"], "seq").select("seq", "store", "h", "text", "topic", "at", "kind", "slots", "displaces", "target", "questions")
