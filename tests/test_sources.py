@@ -78,6 +78,13 @@ def test_store_and_command_line(spark, tmp_path):
     assert do("ask", "what is the retry budget", "--top", "1")[1]["h"] == h["the retry budget is three"]
     with pytest.raises(ValueError):
         do("forget", "zzzz")
+    # a topic held by something else is reported; several hashes are shown, and what is ambiguous is listed
+    assert do("remember", "lunch is at noon", "--topic", "retry", "--at", "2024-01-05T00:00:00Z")[0]["collides"][0]["topic"] == "retry"
+    shown = do("show", h["roses need pruning"], "", "zzzz")
+    assert shown[0]["text"] == "roses need pruning" and len(shown[1]["matches"]) > 2 and shown[2]["matches"] == []
+    kept = Disk(spark, at).names("embedded")
+    do("ask", "lunch is at noon")
+    assert Disk(spark, at).names("embedded") == kept  # every text has been through the model
     assert len(do("log", "--all")) >= 4 and do("stats")[0]["entries"] == Store(spark, at).log().count()
 
     other = str(tmp_path / "team")
@@ -89,7 +96,9 @@ def test_store_and_command_line(spark, tmp_path):
     assert all(r["store"] == "mine" for r in do("ask", "retry budget", "--except", "team")[1:])
     assert do("merge", other, "--out", str(tmp_path / "both"))[0]["entries"] == Store(spark, at).log().count() + 1
     assert do("recompile", "--model", "hashed", "--dim", "64", "--out", str(tmp_path / "wide"))[0]["entries"] == Store(spark, at).log().count()
-    assert do("others", "remove", "team")[0]["removed"]
+    again = do("recompile", "--model", "hashed", "--dim", "16")[0]
+    assert Store(spark, at).config.dim == 16 and Store(spark, at).others() and Store(spark, str(tmp_path / again["backup"])).config.dim == 32
+    assert do("others", "remove", "team")[0]["removed"] and not Store(spark, at).others()
     with pytest.raises(ValueError):
         reader(spark, "ipfs://x")
 

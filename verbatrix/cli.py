@@ -6,17 +6,17 @@ import argparse
 import json
 import sys
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from .functions.text import attenuation_reading, past_horizon, truncated
 from .operators import log as L
 from .operators.fold import fold, gauges, operations
-from .operators.infer import displacements, with_displacements
 from .plans.ask import ask, in_scope
 from .schema import ENTRY, StoreConfig
 from .session import local_session
-from .sources.embed import EMBEDDERS, fold_vectors, question_vector
+from .sources.embed import EMBEDDERS, question_vector
 from .sources.stores import Store
 from .sources.translate import TRANSLATORS, ingest, jsonl
 
@@ -40,19 +40,19 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(*a.split(), **opts)
 
     verb("init", ("--model", {"default": "hashed", "choices": sorted(EMBEDDERS)}), ("--dim", {"type": int, "default": 256}), ("--beta", {"type": float, "default": 1.0}), ("--seed", {"type": int, "default": 7}), ("--sigma", {"type": float}), ("--d-embed", {"type": int}))
-    verb("remember", ("text", {}), ("--topic", {}), ("--kind", {"default": "note"}), ("--at", {}), ("--question", {"action": "append", "default": []}), ("--slot", {"action": "append", "default": []}), ("--infer", {"action": "store_true"}))
+    verb("remember", ("text", {}), ("--topic", {}), ("--kind", {"default": "note"}), ("--at", {}), ("--question", {"action": "append", "default": []}), ("--slot", {"action": "append", "default": []}), ("--infer", {"action": argparse.BooleanOptionalAction, "default": True}))
     verb("question", ("hash", {}), ("questions", {"nargs": "+"}))
     verb("keep", ("hash", {}))
     verb("forget", ("hashes", {"nargs": "*"}), ("--last", {"type": int, "default": 0}))
-    verb("ingest", ("format", {"choices": sorted(TRANSLATORS)}), ("paths", {"nargs": "+"}), ("--at", {}))
+    verb("ingest", ("format", {"choices": sorted(TRANSLATORS)}), ("paths", {"nargs": "+"}), ("--at", {}), ("--infer", {"action": argparse.BooleanOptionalAction, "default": False}))
     verb("ask", ("question", {}), ("--top", {"type": int, "default": 5}), ("--as-of", {}), ("--current", {"action": "store_true"}), ("--slot", {"action": "append", "default": []}), ("--from", {"dest": "only", "default": "all"}), ("--except", {"dest": "exclude", "action": "append", "default": []}))
-    verb("show", ("hash", {}))
+    verb("show", ("hashes", {"nargs": "+"}))
     verb("log", ("--top", {"type": int, "default": 20}), ("--all", {"action": "store_true"}))
     verb("topics")
     verb("stats")
     verb("others", ("action", {"choices": ["add", "remove", "list"]}), ("addr", {"nargs": "?"}), ("--name", {}))
     verb("merge", ("other", {}), ("--out", {"required": True}))
-    verb("recompile", ("--model", {"required": True}), ("--dim", {"type": int}), ("--out", {"required": True}))
+    verb("recompile", ("--model", {"required": True}), ("--dim", {"type": int}), ("--out", {}))
     verb("publish")
     return p
 
@@ -68,16 +68,10 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
     if a.verb == "remember":
         row = (a.text, a.topic, a.at or now(), a.kind, slots_of(a.slot), [], None, a.question)
         entry = spark.createDataFrame([row], ENTRY)
-        if a.infer and not a.topic:
-            from .functions.identity import identity_column
-
-            start = (store.log().agg(F.max("seq")).first()[0] or 0) + 1
-            trial = store.log().unionByName(entry.withColumn("store", F.lit(store.name)).withColumn("h", identity_column()).withColumn("seq", F.lit(start).cast("bigint")))
-            found = displacements(trial, fold_vectors(trial, store.config), store.config.dim, since=start)
-            entry = with_displacements(trial.filter(F.col("seq") == start), found).select(*ENTRY.names)
-            shown = [r.asDict() for r in found.select("target_h", "w", attenuation_reading(F.col("w")).alias("reading")).collect()]
-            return [{"added": store.append(entry), "displaced": shown}]
-        return [{"added": store.append(entry)}]
+        held = [r.asDict() for r in store.collisions(entry).filter("unrelated").select("topic", "prior_h", "cosine").collect()] if a.topic else []
+        new = store.add(entry, a.infer and not a.topic)
+        shown = new.filter(L.is_entry()).select(F.explode("displaces").alias("d")).select("d.target_h", "d.w", attenuation_reading(F.col("d.w")).alias("reading"))
+        return [{"added": new.filter(L.is_entry()).count(), "displaced": [r.asDict() for r in shown.collect()], "collides": held}]
     if a.verb == "question":
         return [{"added": store.add_questions(a.hash, a.questions, now())}]
     if a.verb == "keep":
@@ -93,7 +87,7 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
             entries = entries if a.at is None else entries.withColumn("at", F.lit(a.at))
         else:
             entries = ingest(spark, a.format, a.paths, a.at)
-        return [{"read": entries.count(), "past_horizon": entries.filter(past_horizon(F.col("text"))).count(), "added": store.append(entries)}]
+        return [{"read": entries.count(), "past_horizon": entries.filter(past_horizon(F.col("text"))).count(), "added": store.append(entries, a.infer)}]
     if a.verb == "ask":
         readable, warnings = store.readable()
         names = in_scope(list(readable), store.name, a.only, tuple(a.exclude))
@@ -102,21 +96,32 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
         for x in logs[1:]:
             pool = pool.unionByName(x)
         q = question_vector(a.question, store.config, slots_of(a.slot))
-        found = ask(pool, fold_vectors(pool, store.config), q, a.question, store.config, a.top, warnings, as_of=a.as_of, current_only=a.current)
+        found = ask(pool, store.vectors(pool), q, a.question, store.config, a.top, warnings, as_of=a.as_of, current_only=a.current)
         return [{"support": found.support, "verdict": found.verdict, "warnings": found.warnings}, *found.hits, *({"hit": i, **r} for i, rs in enumerate(found.related) for r in rs)]
     log = store.log()
     if a.verb == "show":
-        r = L.exactly_one(L.by_prefix(log, a.hash), a.hash)
-        of = lambda df: [x.asDict() for x in df.filter(F.col("h") == r["h"]).collect()]
-        asked = [x["text"] for x in log.filter((F.col("kind") == "alias") & (F.col("target") == r["h"])).select("text").collect()]
-        return [{**r.asDict(recursive=True), "displaced": of(L.displaced(log)), "superseded": [x.asDict() for x in L.superseded(log).filter(F.col("seq") == r["seq"]).collect()], "questions": asked}]
+        readable, _ = store.readable()
+        logs = [s.log().withColumn("store", F.lit(n)) for n, s in readable.items()]
+        pool = reduce(lambda x, y: x.unionByName(y), logs)
+        out = []
+        for prefix in a.hashes:
+            found = L.by_prefix(pool, prefix).orderBy("h").limit(20).collect()
+            if len(found) != 1:
+                out.append({"hash": prefix, "matches": [{"store": r["store"], "h": r["h"], "text": (r["text"] or "")[:80]} for r in found]})
+                continue
+            r = found[0]
+            own = pool.filter(F.col("store") == r["store"])
+            mine = lambda df, c: [x.asDict() for x in df.filter(F.col(c) == r[c]).collect()]  # noqa: B023, E731
+            asked = [x["text"] for x in own.filter((F.col("kind") == "alias") & (F.col("target") == r["h"])).select("text").collect()]
+            out.append({**r.asDict(recursive=True), "displaced": mine(L.displaced(own), "h"), "superseded": mine(L.superseded(own), "seq"), "questions": asked})
+        return out
     if a.verb == "log":
         rows = L.newest(log, None if a.all else a.top).select("at", "kind", "topic", "h", "superseded_by", "displaced", truncated(F.col("text")).alias("text"))
         return [r.asDict() for r in rows.orderBy(F.desc("at")).collect()]
     if a.verb == "topics":
         return [r.asDict() for r in L.topic_listing(log).orderBy("topic").collect()]
     if a.verb == "stats":
-        g = gauges(fold(operations(log, fold_vectors(log, store.config)), store.config.dim, store.config.beta))
+        g = gauges(fold(operations(log, store.vectors(log)), store.config.dim, store.config.beta))
         return [r.asDict() for r in L.stats(log).join(g, "store", "left").collect()]
     if a.verb == "others":
         if a.action == "add":
@@ -134,9 +139,8 @@ def run(argv: list[str] | None = None, spark=None) -> list[dict]:  # noqa: ANN00
     if a.verb == "recompile":
         # vectors and state are derived when they are read: another model is the same log under another configuration
         cfg = StoreConfig(**{**store.config.to_dict(), "model": a.model, "dim": a.dim or store.config.dim, "d_embed": a.dim or store.config.d_embed})
-        out = Store.create(spark, a.out, cfg)
-        log.write.parquet(out.table)
-        return [{"entries": out.log().count()}]
+        out, backup = store.recompiled(cfg, a.out)
+        return [{"entries": out.log().count(), "backup": backup}]
     store.publish()
     return [{"published": str(store.path)}]
 

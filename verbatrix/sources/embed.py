@@ -104,15 +104,20 @@ def question_vector(question: str, cfg: StoreConfig, slots: dict[str, str] | Non
     return bind_slots(x[0], slots, cfg.seed)
 
 
-def fold_vectors(log: DataFrame, cfg: StoreConfig) -> DataFrame:
-    """(store, h, k, v) of a log's entries and aliases. The key is of the topic, or else the text, bound to the slots; the value is of the text;
+def spoken_texts(log: DataFrame) -> DataFrame:
+    """(text) what a log's vectors are made of: topics and texts."""
+    rows = log.filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract"))
+    return rows.select("text").unionByName(rows.select(F.col("topic").alias("text")).filter("text <> ''"))
+
+
+def fold_vectors(log: DataFrame, cfg: StoreConfig, embedded: DataFrame | None = None) -> DataFrame:
+    """(store, h, k, v) of a log's entries and aliases, from embedded texts (digest, vec) if there are some. The key is of the topic, or else the text, bound to the slots; the value is of the text;
     an alias has its parent's value. Keeps and retracts have none. Every distinct text is embedded once."""
     from ..operators.log import distinct_log
 
     rows = distinct_log(log).filter(~F.coalesce("kind", F.lit("note")).isin("keep", "retract"))
     rows = rows.select("store", "h", "target", "kind", "text", "slots", F.when(F.col("topic") != "", F.col("topic")).otherwise(F.col("text")).alias("address"))
-    texts = rows.select("text").unionByName(rows.select(F.col("address").alias("text")))
-    e = embed_distinct(texts, cfg.model, cfg.d_embed)
+    e = embed_distinct(rows.select("text").unionByName(rows.select(F.col("address").alias("text"))), cfg.model, cfg.d_embed) if embedded is None else embedded
     own = with_vectors(with_vectors(rows, "text", "v", e), "address", "k", e).filter("v is not null and k is not null")
     lift = lift_of(cfg)
 

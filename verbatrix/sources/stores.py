@@ -20,7 +20,7 @@ from ..operators import log as L
 from ..schema import LOG, StoreConfig
 from .lines import from_lines, to_lines
 
-CONFIG, LINES, LIST, OTHERS, LOG_TABLE = "config.json", "log.jsonl", "lines.json", "others", "log.parquet"
+CONFIG, LINES, LIST, OTHERS, LOG_TABLE, EMBEDDED = "config.json", "log.jsonl", "lines.json", "others", "log.parquet", "embedded"
 #: Seconds until a web address counts as unreachable.
 PATIENCE = 15
 
@@ -137,19 +137,52 @@ class Store:
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(self.table)
 
-    def append(self, entries: DataFrame) -> int:
-        """Add entries (ENTRY's columns; in order of instant and identity) that the log lacks, and their questions; the number of entries added."""
+    def vectors(self, log: DataFrame) -> DataFrame:
+        """(store, h, k, v) of a log's rows, written. Texts go through the model once in a store's life: what it made of them is kept."""
+        from ..session import materialise, write_out
+        from .embed import embed_missing, fold_vectors, spoken_texts
+
+        shape = "digest string, vec array<float>"
+        kept = lambda: self.spark.read.schema(shape).parquet(f"{self.path}/{EMBEDDED}") if self.disk.has(EMBEDDED) else self.spark.createDataFrame([], shape)
+        new = write_out(embed_missing(spoken_texts(log), kept(), embedder=self.config.model, dim=self.config.d_embed), "embedded")
+        if not new.df.isEmpty():
+            new.df.write.mode("append").parquet(f"{self.path}/{EMBEDDED}")
+        new.drop()
+        return materialise(fold_vectors(log, self.config, kept().dropDuplicates(["digest"])), "vectors")
+
+    def append(self, entries: DataFrame, infer: bool = False) -> int:
+        """Add entries (ENTRY's columns; in order of instant and identity) that the log lacks, and their questions; the number of entries added.
+        With infer, those without topic displace what they are near to."""
+        return self.add(entries, infer).filter(L.is_entry() | (F.col("kind") != "alias")).count()
+
+    def add(self, entries: DataFrame, infer: bool = False) -> DataFrame:
+        """The rows that append adds."""
         from ..functions.identity import identity_column
         from ..functions.time import instant_micros
-        from ..session import write_out
+        from ..operators.infer import displacements, with_displacements
+        from ..session import materialise
 
         named = entries.withColumn("store", F.lit(self.name)).withColumn("_h", identity_column()).withColumn("_i", instant_micros(F.col("at")))
         ordered = L.with_ordinal(named, ["store"], ["_i", "_h"], "ord").drop("_h", "_i")
-        new = write_out(L.append(self.log(), ordered), "appended")
-        new.df.write.mode("append").parquet(self.table)
-        added = new.df.filter(L.is_entry() | (F.col("kind") != "alias")).count()
-        new.drop()
-        return added
+        log = self.log()
+        new = materialise(L.append(log, ordered), "appended")
+        if infer and not new.isEmpty():
+            both = log.unionByName(new)
+            found = displacements(both, self.vectors(both), self.config.dim, since=new.agg(F.min("seq")).first()[0])
+            new = materialise(with_displacements(new, found).select(*log.columns), "inferred")
+        new.write.mode("append").parquet(self.table)
+        return new
+
+    def collisions(self, entries: DataFrame) -> DataFrame:
+        """Which topics of entries to be added are held by something else (see operators.infer)."""
+        from ..functions.identity import identity_column
+        from ..operators.infer import collisions
+
+        log = self.log()
+        new = entries.filter("topic <> ''").withColumn("store", F.lit(self.name)).withColumn("h", identity_column())
+        made = new.withColumn("seq", F.lit(2**62)).select(*log.columns)
+        vec = self.vectors(log.unionByName(made))
+        return collisions(log, new.select("store", "h", "topic").join(vec.select("store", "h", "v"), ["store", "h"]), vec)
 
     def keep(self, prefix: str, at: str) -> None:
         self.append(L.keep_event(self.log(), prefix, self.name, at).drop("store", "ord"))
@@ -206,6 +239,22 @@ class Store:
             self._register(name, None)
         return known
 
+    def recompiled(self, config: StoreConfig, out: str | None = None) -> tuple["Store", str | None]:
+        """This store's log and register of others under another configuration, at `out`, or in its own place; then the old one is kept beside it,
+        under the name returned."""
+        where = out or f"{self.path}.{uuid.uuid4().hex[:8]}"
+        new = Store.create(self.spark, where, config)
+        self.log().write.parquet(new.table)
+        if self.disk.has(OTHERS):
+            self._registered().coalesce(1).write.parquet(f"{where}/{OTHERS}")
+        if out:
+            return new, None
+        folder = self.path.rsplit("/", 1)[0] if "/" in self.path else "."
+        beside, backup = Disk(self.spark, folder), f"{self.name}.before-{uuid.uuid4().hex[:8]}"
+        beside.rename(self.name, backup)
+        beside.rename(where.rsplit("/", 1)[-1], self.name)
+        return Store(self.spark, self.path), backup
+
     def publish(self) -> None:
         """Write the log as files of lines in its order, for others to fetch, and then the list of them with their sizes. Older files go."""
         old = json.loads(self.disk.read(LIST))["folder"] if self.disk.has(LIST) else None
