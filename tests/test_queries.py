@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from verbatrix.plans import changes_queries, queries
+from verbatrix.plans import changes_queries, queries, store_queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ALL = {**changes_queries.QUERIES, **queries.QUERIES}
-SQL = {**changes_queries.SQL, **queries.SQL}
+ALL = {**changes_queries.QUERIES, **queries.QUERIES, **store_queries.QUERIES}
+SQL = {**changes_queries.SQL, **queries.SQL, **store_queries.SQL}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
