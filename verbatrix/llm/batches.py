@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -41,9 +42,11 @@ HOT = 6
 #: The levels of entries that aren't units.
 IDENTITY, CONTENT = -2, -1
 #: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
-FAN, RENEW = 8, 4
-#: Of smaller batches generated code would take longer to compile than to run, and fill the driver's memory: they are run without.
+FAN, RENEW = 8, 8
+#: While a batch and all before it have fewer nodes, generated code would take longer to compile than to run, and fill the driver's memory.
 SMALL = 20_000
+#: Up to so many units of a batch (some 10 MB a bucket) are hashed in the tasks that look them up, so that the index needn't be sorted.
+HASHED = 1_000_000
 
 
 def level(count: Column) -> Column:
@@ -81,6 +84,7 @@ class AcceptedIndex:
     tables: dict[str, list[dict]] = field(default_factory=dict)
     folder: str = ""
     batches: int = 0
+    nodes: int = 0
     highest: int = 0
 
     SCHEMAS = {
@@ -99,7 +103,7 @@ class AcceptedIndex:
 
     def manifest(self) -> dict:
         """What another session needs to go on with this index (plain data); its files stay in `folder`."""
-        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "tables", "folder", "batches", "highest")}
+        return {k: getattr(self, k) for k in ("threshold", "size", "least_words", "buckets", "name", "tables", "folder", "batches", "nodes", "highest")}
 
     @classmethod
     def attach(cls, spark: SparkSession, manifest: dict) -> "AcceptedIndex":
@@ -156,9 +160,9 @@ class AcceptedIndex:
     def raise_units(self, rose: DataFrame) -> None:
         """Give units (key, was, lvl) their new level; the sets listed under them are listed anew."""
         scratch = Scratch()
-        rose = scratch.keep(rose, "rose")
         top = rose.agg(F.max("lvl")).first()[0]
         if top is not None:
+            rose = scratch.keep(rose, "rose")
             self.highest = max(self.highest, top)
             old = list(self.tables["levels"])
             now = self.files("levels").join(rose.select("key"), "key", "left_anti").unionByName(rose.select("key", "lvl")) if old else rose.select("key", "lvl")
@@ -218,6 +222,7 @@ class _Batch:
     classes: DataFrame
     keys: DataFrame
     few_pairs: bool
+    hashed: bool
     count: int
     pairs_per_entry: int
     task_rows: int
@@ -252,7 +257,8 @@ class _Batch:
             keys = keys.withColumn("own", F.col("lvl") == IDENTITY).join(self.handles(nodes).distinct(), ["owner", "own"], "left_semi").drop("own")
         columns = ["owner", "lvl", "klvl", "name", "kname", "n", "pos", "kept", "kn", "kpos"]
         hot = within is None and index.highest >= HOT
-        met = index.joined("entries", keys.filter(F.col("lvl") < HOT) if hot else keys, columns, within)
+        cold = keys.filter(F.col("lvl") < HOT) if hot else keys
+        met = index.joined("entries", cold.hint("shuffle_hash") if self.hashed else cold, columns, within)
         if hot:
             met = met.unionByName(keys.filter(F.col("lvl") >= HOT).join(index.files("entries").filter(F.col("klvl") >= HOT), "key").select(*columns))
         # sizes and positions of a shared unit first; what they leave is verified once a pair
@@ -321,6 +327,39 @@ def many_pairs(units: DataFrame, pairs_per_entry: int) -> bool:
     return (load["pairs"] or 0) > pairs_per_entry * (load["entries"] or 0) + 1_000_000 * (pairs_per_entry > 0)
 
 
+@dataclass
+class _Prepared:
+    """What a batch is hashed to, whatever the index holds: rows (id, h, digest, grams), nodes (id, h, digest, cid, and a class' grams), the units that
+    are in LIST or more of its texts (key, c), the numbers of nodes and of units, and at least how many pairs lists of those units have."""
+
+    key: str
+    rows: DataFrame
+    nodes: DataFrame
+    often: DataFrame
+    count: int
+    units: int
+    pairs: int
+    scratch: Scratch
+
+
+def prepared(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text") -> _Prepared:
+    """A batch, hashed; it may be done while earlier ones are being admitted."""
+    scratch = Scratch()
+    src = batch.select(F.col(key).cast("bigint").alias("id"), F.col(h).alias("h"), F.col(text).alias("text"))
+    rows = scratch.keep(shingled(src, ["id", "h"], "text", index.size, index.least_words), "batch")
+    # one node a (h, words), known by its first row; the first node of equal words is their class and keeps their set
+    apart = F.coalesce("digest", F.md5("h"))
+    nodes = rows.filter("h is not null or digest is not null").groupBy("h", "digest").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
+    first = F.min("id").over(Window.partitionBy("digest", apart))
+    nodes = nodes.select("id", "h", "digest", F.when(F.col("digest").isNotNull(), first).alias("cid"), "grams").withColumn("grams", F.when(F.col("id") == F.col("cid"), F.col("grams")))
+    nodes = scratch.keep(nodes, "nodes")
+    size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("units")).first()
+    often = nodes.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
+    often = scratch.keep(often, "often")
+    pairs = often.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0))).first()[0]
+    return _Prepared(key, rows, nodes, often, size["n"], size["units"], pairs, scratch)
+
+
 def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str = "h", text: str = "text", pairs_per_entry: int = 100, task_rows: int = 200_000) -> DataFrame:
     """(key, kept): for every row of the batch the accepted row of the smallest key that it repeats, null if it is accepted itself;
     the accepted rows are appended to the index.
@@ -338,27 +377,35 @@ def admit(index: AcceptedIndex, batch: DataFrame, key: str = "row_id", h: str =
     Plan: words and hashes once (written); rows with the same (h, words) collapse to one node by a pre-aggregated shuffle; the batch is
     shuffled to the index' buckets, the index never is (but its lists of HOT level). Nothing is collected.
     """
-    scratch = Scratch()
-    src = batch.select(F.col(key).cast("bigint").alias("id"), F.col(h).alias("h"), F.col(text).alias("text"))
-    rows = scratch.keep(shingled(src, ["id", "h"], "text", index.size, index.least_words), "batch")
-    # one node a (h, words), known by its first row; the first node of equal words is their class and keeps their set
-    apart = F.coalesce("digest", F.md5("h"))
-    nodes = rows.filter("h is not null or digest is not null").groupBy("h", "digest").agg(F.min("id").alias("id"), F.first("grams").alias("grams"))
-    first = F.min("id").over(Window.partitionBy("digest", apart))
-    nodes = nodes.select("id", "h", "digest", F.when(F.col("digest").isNotNull(), first).alias("cid"), "grams").withColumn("grams", F.when(F.col("id") == F.col("cid"), F.col("grams")))
-    nodes = scratch.keep(nodes, "nodes")
-    classes = nodes.filter("id = cid").select("digest", "cid", "grams")
-    nodes = nodes.drop("grams")
-
-    count = nodes.count()
-    with interpreted(index.spark, count <= SMALL):
-        often = classes.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= LIST)
-        index.raise_units(often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+    return _admitted(index, prepared(index, batch, key, h, text), pairs_per_entry, task_rows)
+
+
+def admit_all(index: AcceptedIndex, batches: Iterable[DataFrame], key: str = "row_id", h: str = "h", text: str = "text", ahead: int = 2, **bounds: int) -> Iterator[DataFrame]:
+    """What admit says of each batch, one after the other; meanwhile up to `ahead` of the next ones are hashed."""
+    with ThreadPoolExecutor(1) as hashing:
+        waiting: deque = deque()
+        for batch in batches:
+            waiting.append(hashing.submit(prepared, index, batch, key, h, text))
+            if len(waiting) > ahead:
+                yield _admitted(index, waiting.popleft().result(), **bounds)
+        while waiting:
+            yield _admitted(index, waiting.popleft().result(), **bounds)
+
+
+def _admitted(index: AcceptedIndex, batch: _Prepared, pairs_per_entry: int = 100, task_rows: int = 200_000) -> DataFrame:
+    rows, scratch, key = batch.rows, batch.scratch, batch.key
+    classes = batch.nodes.filter("id = cid").select("digest", "cid", "grams")
+    nodes = batch.nodes.drop("grams")
+    index.nodes += batch.count
+    with interpreted(index.spark, index.nodes <= SMALL):
+        index.raise_units(batch.often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
         named = lambda df, name, of, owner: df.filter(F.col(name).isNotNull()).select(F.xxhash64(F.lit(of), name).alias("key"), F.col(name).alias("name"), F.lit(of).alias("lvl"), F.col(owner).alias("owner"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
         units = index.prefixes_of(classes.select("cid", "grams"), "cid").select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("name"), "lvl", F.col("cid").alias("owner"), "n", "pos")
         keys = scratch.keep(named(nodes, "h", IDENTITY, "id").unionByName(named(classes, "digest", CONTENT, "cid")).unionByName(units), "keys")
 
-        it = _Batch(index, nodes, classes.select("cid", "grams"), keys, not many_pairs(keys.filter("lvl >= 0"), pairs_per_entry), count, pairs_per_entry, task_rows, scratch)
+        # lists of units that aren't often have fewer than LIST entries; the others' pairs are counted only if there may be too many
+        few = (batch.pairs <= 1_000_000 and pairs_per_entry >= LIST) or not many_pairs(keys.filter("lvl >= 0"), pairs_per_entry)
+        it = _Batch(index, nodes, classes.select("cid", "grams"), keys, few, batch.units <= HASHED, batch.count, pairs_per_entry, task_rows, scratch)
         decided = it.all_decided()
         # a row that isn't the first of its node repeats that, if it was accepted
         node = nodes.join(decided.select("id", "kept"), "id").select(F.col("h").alias("nh"), F.col("digest").alias("nd"), F.col("id").alias("first"), "kept")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import write_out
-from .batches import AcceptedIndex, admit
+from .batches import AcceptedIndex, admit_all
 from .encode import encode_corpus
 from .knn import nearest
 from .leak import find_leaks
@@ -29,9 +29,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batches are admitted one by one, as they arrive: the history makes the index, each later one is checked against it and appended."""
     arrived = write_out(_table(spark, sf_dir, "entry_batches").select("row_id", "h", "text", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no")), "arrived", by=["batch_no"])
     index = AcceptedIndex(spark, threshold=0.6, size=3)
+    numbers = [r[0] for r in arrived.df.select("batch_no").distinct().orderBy("batch_no").collect()]
     decided = None
-    for (no,) in arrived.df.select("batch_no").distinct().orderBy("batch_no").collect():
-        got = admit(index, arrived.df.filter(F.col("batch_no") == no))
+    for got in admit_all(index, (arrived.df.filter(F.col("batch_no") == no) for no in numbers)):
         decided = got if decided is None else decided.unionByName(got)
     index.drop()  # what was decided is written
     arrived.drop()
