@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.identity import identity_column
 from ..functions.time import instant_micros
-from ..functions.vectors import cosine, usable
+from ..functions.vectors import Lift, bind_rows, cosine, usable
 from ..operators import lexical as lex
 from ..operators import log as L
+from ..operators.changes import merge_changes
 from ..operators.fold import fold, gauges, moments, operations
 from ..operators.infer import collisions, displacements
 from ..operators.relate import relate
@@ -691,3 +692,36 @@ def ingest_jsonl(spark: SparkSession, d: str) -> DataFrame:
     out = materialise(got.groupBy("text", "topic", "kind", "at").agg(F.count("*").alias("n")), "ingested")
     written.drop()
     return out
+
+
+# ------------------------------------------------------------------ changes, vectors
+
+
+@query("""WITH c AS (SELECT store, seq, coalesce(topic, '') AS topic, h, kind, seq % 3 = 0 AS late FROM entry_log), b AS (SELECT store, topic, max_by(h, seq) AS h FROM c WHERE NOT late GROUP BY ALL),
+  n AS (SELECT store, topic, max_by(h, seq) AS h, max_by(coalesce(kind, '') = 'retract', seq) AS gone FROM c WHERE late GROUP BY ALL)
+  SELECT coalesce(n.store, b.store) AS store, coalesce(n.topic, b.topic) AS topic, CASE WHEN n.store IS NULL THEN b.h ELSE n.h END AS h FROM b FULL JOIN n ON b.store = n.store AND b.topic = n.topic WHERE n.store IS NULL OR NOT n.gone""")
+def merged_feed(spark: SparkSession, d: str) -> DataFrame:
+    """A base table of each topic's last entry, and the changes that came since, twice, merged into it; retracts delete."""
+    rows = table(spark, d, "entry_log").select("store", "seq", F.coalesce("topic", F.lit("")).alias("topic"), "h", "kind")
+    base = rows.filter("seq % 3 <> 0").groupBy("store", "topic").agg(F.max_by("h", "seq").alias("h"))
+    late = rows.filter("seq % 3 = 0")
+    return merge_changes(base, late.unionByName(late).drop("kind").join(late.select("seq", "kind").distinct(), "seq"), ["store", "topic"], ["seq"], ["seq"], F.col("kind") == "retract").select("store", "topic", "h")
+
+
+@query(f"""SELECT v.seq, CASE WHEN list_inner_product(k, k) > 0 THEN 1.0 ELSE 0.0 END AS linear, 1.0 AS waves, CASE WHEN list_inner_product(k, k) > 0 THEN 1.0 ELSE 0.0 END AS bound, coalesce(len(map_keys(e.slots)), 0) = 0 AS same
+  FROM (SELECT seq, list_transform(k, lambda x: x::DOUBLE) AS k FROM vectors WHERE k IS NOT NULL AND len(k) = {DIM}) v JOIN entry_log e ON e.seq = v.seq""")
+def lifted_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Every key lifted both ways and bound to its entry's slots: all of unit length, zeros stay zero where nothing else is added, keys without slots as they are."""
+    rows = table(spark, d, "vectors").filter(F.size("k") == DIM).select("seq", "k").join(table(spark, d, "entry_log").select("seq", "slots"), "seq")
+
+    def run(batches):  # noqa: ANN001, ANN202
+        linear, waves = Lift(DIM, 128, 7), Lift(DIM, 128, 7, 0.8)
+        for b in batches:
+            if len(b):
+                x = np.stack(b["k"]).astype(np.float64)
+                y = linear.keys(x)
+                z = bind_rows(y, [dict(zip(n, v)) if n is not None else None for n, v in zip(b["names"], b["given"])], 7)
+                length = lambda m: np.round(np.linalg.norm(m, axis=1), 6)
+                yield b[["seq"]].assign(linear=length(y), waves=length(waves.keys(x)), bound=length(z), same=[n is None or len(n) == 0 for n in b["names"]])
+
+    return rows.select("seq", "k", F.map_keys("slots").alias("names"), F.map_values("slots").alias("given")).mapInPandas(run, "seq bigint, linear double, waves double, bound double, same boolean")
