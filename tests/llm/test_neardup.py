@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -73,12 +74,22 @@ def test_lists_connect_what_is_close():
         sets = sorted(({99, *(x if rng.random() < 0.85 else rng.randrange(200) for x in base[: rng.randrange(5, 30)])} for _ in range(25)), key=len)
         # position 0 for all: the shared gram is the first of each
         n = [len(s) for s in sets]
-        links = IndexList(list(range(25)), n, [0] * 25, [0] * 25, [list(s) for s in sets], False, 8, 3).links()
+        links = IndexList(list(range(25)), n, [0] * 25, [0] * 25, [np.array(sorted(s)) for s in sets], False, 8, 3).links()
         got = groups_of(25, links)
         assert got == groups_of(25, [(i, j) for i in range(25) for j in range(i) if 8 * len(sets[i] & sets[j]) >= 3 * (n[i] + n[j])])
         assert len(links) < 25
 
 
+def test_few_hash_tables(monkeypatch):
+    """The same links where next to no hash tables are kept."""
+    rng = random.Random(11)
+    sets = sorted(({99, *rng.sample(range(30), 18)} for _ in range(30)), key=len)
+    links = lambda: IndexList(list(range(30)), [len(s) for s in sets], [0] * 30, [0] * 30, [np.array(sorted(s)) for s in sets], False, 8, 3).links()
+    want = links()
+    monkeypatch.setattr("verbatrix.llm.neardup.MOST_HASHED", 20)
+    assert links() == want and want
+
+
 def groups_of(n, links):
     parent = list(range(n))
     for _ in range(n):

@@ -20,17 +20,32 @@ from .components import components
 from .shingles import Closeness, prefix_sets, prefixes, shingled
 
 
+#: Elements of hash tables that a list keeps (some 150 MB); the sets themselves take eight bytes an element, as they came.
+MOST_HASHED = 2_000_000
+
+
 class IndexList:
     """One gram's list; links() gives pairs that connect all of its close sets."""
 
     def __init__(self, ids: list[int], n: list[int], pos: list[int], slot: list[int], sets: list[np.ndarray], across: bool, over: int, under: int):
         self.ids, self.n, self.pos, self.slot, self.across = ids, n, pos, slot, across
-        self.sets = [frozenset(s) for s in sets]
+        self.arrays, self.sets, self.hashed = sets, {}, 0
         self.over, self.under = over, under
         # entries come ordered by size and position: a block is a slice
         cut = [0, *(i for i in range(1, len(n)) if (n[i], pos[i]) != (n[i - 1], pos[i - 1])), len(n)]
         self.blocks = [(n[s], pos[s], s, e) for s, e in zip(cut, cut[1:])]
 
+    def set_of(self, i: int) -> frozenset[int]:
+        """A set's hash table, made when it is looked at; tables of more than MOST_HASHED elements in all aren't kept."""
+        got = self.sets.get(i)
+        if got is None:
+            if self.hashed > MOST_HASHED:
+                self.sets.clear()
+                self.hashed = 0
+            got = self.sets[i] = frozenset(self.arrays[i].tolist())
+            self.hashed += len(got)
+        return got
+
     def links(self) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         group = list(range(len(self.ids)))
@@ -59,7 +74,7 @@ class IndexList:
                     if o is not None and (o + gain) * over < under * (nx + nb):
                         continue  # even the upper bound isn't enough
                     if o is None or (o - loss) * over < under * (nx + nb):
-                        o = own[y] = len(self.sets[x] & self.sets[y])
+                        o = own[y] = len(self.set_of(x) & self.set_of(y))
                         if o * over < under * (nx + nb):
                             continue
                         like[y] = (x, o)
@@ -112,7 +127,7 @@ def close_links(sets: DataFrame, key: str = "cid", threshold: float = 0.6, list_
                     ended()
                     held.clear()
                     now = k
-                held.append((*r, grams[at[i] : at[i + 1]].tolist()))
+                held.append((*r, grams[at[i] : at[i + 1]]))
             if out:
                 yield batch()
         ended()
