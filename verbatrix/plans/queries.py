@@ -255,7 +255,17 @@ def _cut(spark: SparkSession, d: str, how) -> DataFrame:  # noqa: ANN001
     return _by_file(files, how).select("topic", "text")
 
 
-@query()
+WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PARTS = rf"""
+WITH lines AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM documents WHERE text IS NOT NULL))),
+marked AS (SELECT *, regexp_matches(line, '^#{{1,3}}{WS}') AS head, sum(CASE WHEN regexp_matches(line, '^#{{1,3}}{WS}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM lines),
+parts AS (SELECT doc_id, part, coalesce(max(CASE WHEN head THEN regexp_replace(regexp_replace(line, '^#{{1,3}}{WS}+', ''), '{WS}+$', '') END), 'intro') AS heading,
+  regexp_replace(regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), '^{WS}+', ''), '{WS}+$', '') AS body FROM marked GROUP BY doc_id, part)
+"""
+
+
+@query(PARTS + r"""SELECT doc_id || '#' || CASE WHEN trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'intro' ELSE trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') END AS topic,
+  CASE WHEN heading = 'intro' THEN body ELSE heading || chr(10) || body END AS text FROM parts WHERE length(body) >= 50""")
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d, sections)
 
