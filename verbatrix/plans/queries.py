@@ -270,7 +270,16 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d, sections)
 
 
-@query()
+@query(PARTS.replace("WITH lines", "WITH RECURSIVE lines") + rf"""
+, slugged AS (SELECT *, CASE WHEN trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'intro' ELSE trim(regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM parts),
+ps AS (SELECT doc_id, part, j, regexp_replace(regexp_replace(qs[j], '^{WS}+', ''), '{WS}+$', '') AS p FROM (SELECT doc_id, part, qs, unnest(range(1, len(qs) + 1)) AS j FROM (SELECT doc_id, part, regexp_split_to_array(body, '\n{WS}*\n') AS qs FROM slugged
+    WHERE slug NOT IN ('contents', 'table-of-contents', 'list-of-tables', 'list-of-figures', 'index')))),
+pn AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id, part ORDER BY j) AS j, p, len(list_filter(regexp_split_to_array(p, '{WS}+'), lambda x: x <> '')) AS n FROM ps WHERE p <> ''),
+packed AS (SELECT doc_id, part, j, p, 1 AS chunk, 300 - n AS room FROM pn WHERE j = 1
+  UNION ALL SELECT x.doc_id, x.part, x.j, x.p, CASE WHEN x.n <= k.room THEN k.chunk ELSE k.chunk + 1 END, CASE WHEN x.n <= k.room THEN k.room - x.n ELSE 300 - x.n END FROM packed k JOIN pn x ON x.doc_id = k.doc_id AND x.part = k.part AND x.j = k.j + 1),
+made AS (SELECT doc_id, part, chunk, string_agg(p, chr(10) || chr(10) ORDER BY j) AS c FROM packed GROUP BY ALL),
+kept_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY chunk) AS no FROM made WHERE length(c) >= 50)
+SELECT doc_id || '#' || slug || CASE WHEN no = 1 THEN '' ELSE '/' || no END AS topic, CASE WHEN heading = 'intro' THEN c ELSE heading || chr(10) || c END AS text FROM kept_ JOIN slugged USING (doc_id, part)""")
 def paper_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d, chunks)
 
