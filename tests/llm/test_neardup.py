@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verbatrix.llm.batches import AcceptedIndex, Scratch, admit, admit_all, in_one_task, in_rounds
 from verbatrix.llm.components import components
 from verbatrix.llm.neardup import IndexList, close_links, near_duplicate_groups
+from verbatrix.session import Written
 
 
 def shingles(text, size=3, least=8):
@@ -226,3 +227,14 @@ def test_new_template_in_later_batches(spark, words):
     both = index.joined("entries", spark.createDataFrame([(k,) for k in own], "key bigint"), ["key", "kept"])
     assert both.groupBy("key").count().count() == len(own)
     index.drop()
+
+
+def test_written_is_read_without_a_job(spark):
+    """A table written between stages is read with the schema it was written with, so no job looks for one."""
+    kept = Scratch().keep(spark.range(5).withColumn("x", F.array("id")), "kept")
+    spark.sparkContext.setJobGroup("looking", "")
+    again = Written(spark, kept.inputFiles()[0].rsplit("/", 1)[0], kept.schema).df
+    kept2 = Scratch().keep(again, "again")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("looking"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == 1 and sorted(kept2.collect()) == sorted(kept.collect())

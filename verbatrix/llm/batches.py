@@ -398,7 +398,8 @@ def _admitted(index: AcceptedIndex, batch: _Prepared, pairs_per_entry: int = 100
     nodes = batch.nodes.drop("grams")
     index.nodes += batch.count
     with interpreted(index.spark, index.nodes <= SMALL):
-        index.raise_units(batch.often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
+        if batch.pairs:  # else no unit is in LIST texts
+            index.raise_units(batch.often.join(index.levels(), "key", "left").select("key", F.coalesce("lvl", F.lit(0)).alias("was"), level(F.col("c")).alias("lvl")).filter("lvl > was"))
         named = lambda df, name, of, owner: df.filter(F.col(name).isNotNull()).select(F.xxhash64(F.lit(of), name).alias("key"), F.col(name).alias("name"), F.lit(of).alias("lvl"), F.col(owner).alias("owner"), F.lit(0).alias("n"), F.lit(0).alias("pos"))
         units = index.prefixes_of(classes.select("cid", "grams"), "cid").select(F.col("gram").alias("key"), F.lit(None).cast("string").alias("name"), "lvl", F.col("cid").alias("owner"), "n", "pos")
         keys = scratch.keep(named(nodes, "h", IDENTITY, "id").unionByName(named(classes, "digest", CONTENT, "cid")).unionByName(units), "keys")

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -55,12 +56,12 @@ def clear_written(spark: SparkSession) -> int:
 class Written:
     """A table written to the shared folder: lineage ends there and a lost executor loses nothing."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
+        self.spark, self.path, self.schema = spark, path, schema
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return (self.spark.read.schema(self.schema) if self.schema else self.spark.read).parquet(self.path)  # with a schema no job looks for it
 
     def drop(self) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
@@ -74,7 +75,7 @@ def write_out(df: DataFrame, name: str = "t", by: list[str] | None = None) -> Wr
     path = f"{shared_dir(spark)}/verbatrix/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, partitionBy=by)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return Written(spark, path)
+    return Written(spark, path, None if by else df.schema)
 
 
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
