@@ -1,6 +1,7 @@
 """Garbled texts: every chain undone on made-up records, clean ones untouched."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,33 @@ def test_validated_on_all_lines(spark, records):
             over = [sum(judges[k].best(y)[0] > m for k, y in bad) for m in M.MARGIN_GRID]
             assert got[i][1] == len(bad) and got[i][0][M.STRANGE_GRID.index(M.FIRST_STRANGE)].tolist() == over
     assert got[-1][1] == sum(not x.isascii() for r in texts for x in r.split("\n"))
+
+
+def test_many_tokens_at_once(records):
+    """Chains and gains of a whole row of tokens are those of each token; a line that is there several times is judged once and counts as often."""
+    import numpy as np
+
+    tokens = sorted({t for r in records for t in r.split() if not t.isascii()} | {"複製は19:36まで古いままです。", "请比较urzelsby中迟到的副本", "a\x93b", "é\x85", "😀été"})
+    keys, n = np.unique(M._codes(tokens[::2])[0], return_counts=True)
+    restorer = M.Restorer(M.CharModel(keys, n), 0.0)
+    made = sorted({y for c in restorer.chains for t in tokens[::3] for y in [c.garble(t)] if y} | set(tokens))
+    for c in restorer.chains:
+        assert M.undone(c, made) == [c.fix(y) for y in made]
+    gains, more = restorer.learnt(made)
+
+    def score(texts):
+        of, odd = restorer.model.scores(*(x if k else M.folded(x).astype(np.int64) for k, x in enumerate(M._characters(texts))))
+        return of.sum(), odd
+
+    for i, c in enumerate(restorer.chains):
+        for k in range(i % 7, len(made), 7):
+            y, new = made[k], c.fix(made[k])
+            letters = not isinstance(c, (M.Swapped, M.Multibyte)) or any(x.isalpha() for x in y if x > "\x7f") or re.search(r"[^\W\d_][\x80-\x9f][^\W\d_]", y)
+            (was, odd), (now, added) = score([y]), score([new])
+            extra = min(max(int(added[0] - odd[0]), 0), 255) if new != y and letters else 0
+            gain = now - was - restorer.strange * extra if new != y and letters else 0.0
+            assert more[k, i] == extra and abs(gains[k, i] - gain) < 1e-3, (c.name, y, new)
+    at, size = np.arange(len(tokens)), np.ones(len(tokens), np.int64)
+    many = list(M.judged(restorer, tokens, np.concatenate([at, at, at]), np.concatenate([size] * 3), np.concatenate([size] * 3)))
+    once = list(M.judged(restorer, tokens, at, size, 3 * size))
+    assert [(i, k, over.tolist()) for i, over, k in many] == [(i, k, over.tolist()) for i, over, k in once]
