@@ -238,3 +238,25 @@ def test_written_is_read_without_a_job(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("looking"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs == 1 and sorted(kept2.collect()) == sorted(kept.collect())
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """Between batches the driver collects its garbage and returns native memory; what is admitted is the same."""
+    from verbatrix import session
+    from verbatrix.llm import batches
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    block = spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20)
+    before = runtime.totalMemory() - runtime.freeMemory()
+    del block
+    assert session.give_back(spark)
+    assert runtime.totalMemory() - runtime.freeMemory() < before - (48 << 20)
+
+    calls = []
+    monkeypatch.setattr(batches, "give_back", lambda s: calls.append(session.give_back(s)))
+    df = spark.createDataFrame([(i, "a" if i in (0, 3) else f"h{i}", None) for i in range(4)], "row_id bigint, h string, text string")
+    index = batches.AcceptedIndex(spark, threshold=0.6, size=3)
+    got = [r for out in batches.admit_all(index, [df.filter(f"row_id = {i}") for i in range(4)]) for r in out.collect()]
+    index.drop()
+    assert [(r["row_id"], r["kept"]) for r in got] == [(0, None), (1, None), (2, None), (3, 0)]
+    assert calls == [True, True]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Written, shared_dir, write_out
+from ..session import Written, give_back, shared_dir, write_out
 from .shingles import Closeness, prefix_sets, prefixes, shingled
 
 #: A unit in fewer texts has level 0; of every GROWTH times as many, one more.
@@ -43,6 +43,8 @@ HOT = 6
 IDENTITY, CONTENT = -2, -1
 #: After so many appends a table is rewritten into the one of the next tier; after so many batches the lengths of lists are looked at.
 FAN, RENEW = 8, 8
+#: After so many batches the driver gives back what planning them took.
+TIDY = 2
 #: While a batch and all before it have fewer nodes, generated code would take longer to compile than to run, and fill the driver's memory.
 SMALL = 20_000
 #: Up to so many units of a batch (some 10 MB a bucket) are hashed in the tasks that look them up, so that the index needn't be sorted.
@@ -423,6 +425,8 @@ def _admitted(index: AcceptedIndex, batch: _Prepared, pairs_per_entry: int = 100
             index.renew()
         index.compact()
     scratch.drop()
+    if index.batches % TIDY == 0:
+        give_back(index.spark)
     return out
 
 
